@@ -157,13 +157,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = texts(docs, id_col, text_col)
     sets = store(classes(found), "classes")
     keyed = sets.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id"))
-    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
+    # Buckets with the same members (most pairs share several bands) are checked once.
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    sized = sized.groupBy("n", "centre", "x", "y").agg(F.min("key").alias("key")).drop("x", "y")
     # Blocks of about BLOCK members; the bucket's smallest class is in each of them.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = keyed.join(sized, "key").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     member = member.select("key", "doc_id", "blocks", F.when(F.col("doc_id") == F.col("centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(own)).alias("in"))
     member = store(member.select("key", F.explode("in").alias("block"), "doc_id", "blocks"), "members")
+    source = store(source.join(member.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     links = store(_check(member.select("key", "block", "doc_id", F.col("doc_id").alias("label")), source), "links")
     of = components(links)
     large = member.where("blocks > 1").drop("blocks").distinct()
