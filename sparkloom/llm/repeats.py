@@ -1,9 +1,9 @@
 """Removal of repeated passages with shard-wise suffix arrays.
 
-Every 100-byte window has an anchor: the least hash of the 16-byte strings in it.
+Every 100-byte window has an anchor: the least hash of the 32-byte strings in it.
 Equal windows have equal anchors, so windows are dealt by anchor and never
 compared across shards.  A run of windows with one anchor value is a segment; it
-is about 142 bytes for 43 windows.
+is about 134 bytes for 35 windows.
 
 1. A task cuts its documents into segments and keeps the first of equal ones; the
    others are repeats as they stand.  One row per content and task is dealt on, so
@@ -38,9 +38,9 @@ from .ppm import _batch
 from .shingles import mix
 from .suffix import permuted_lcp, suffix_array
 
-WINDOW, GRAM = 100, 16
-SPAN = WINDOW - GRAM + 1  # 16-byte strings in a window
-SHARD, HOT = 1 << 20, 2048
+WINDOW, GRAM = 100, 32
+SPAN = WINDOW - GRAM + 1  # 32-byte strings in a window
+SHARD, HOT = 1 << 20, 16384
 PART = 1 << 20  # bytes hashed at a time
 TASK_SEGMENTS = 1_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -87,9 +87,11 @@ def segments(raw: bytes, doc: int, first: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=SEGMENT)
     a = np.frombuffer(raw, dtype=np.uint8)
-    low = np.ndarray(len(raw) - GRAM + 1, dtype="<u8", buffer=raw, strides=(1,))
-    high = np.ndarray(len(raw) - GRAM + 1, dtype="<u8", buffer=raw, offset=8, strides=(1,))
-    h = mix((low * _C) ^ (high + _D) * _D)
+    size = len(raw) - GRAM + 1
+    h = np.zeros(size, dtype=np.uint64)
+    for at in range(0, GRAM, 8):
+        h = (h ^ (h >> np.uint64(29)) ^ np.ndarray(size, dtype="<u8", buffer=raw, offset=at, strides=(1,))) * _C
+    h = mix(h)
     anchor = _slide(h, SPAN, True)
     start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.append(start, n))
@@ -113,12 +115,43 @@ def cut(raw: bytes, doc: int) -> Iterator[np.ndarray]:
 
 def resolve(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segments sorted by anchor and content, the first occurrence foremost; whether each is that first one)."""
-    s = s[np.lexsort((s["pos"], s["doc"], s["n"], s["content"], s["anchor"]))]
+    s = s[np.argsort(s["anchor"])]
+    tie = np.zeros(len(s), dtype=bool)
+    equal = s["anchor"][1:] == s["anchor"][:-1]
+    tie[1:] |= equal
+    tie[:-1] |= equal
+    at = np.flatnonzero(tie)  # few: most anchors stand alone
+    t = s[at]
+    s[at] = t[np.lexsort((t["pos"], t["doc"], t["n"], t["content"], t["anchor"]))]
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s["anchor"][1:] != s["anchor"][:-1]) | (s["content"][1:] != s["content"][:-1]) | (s["n"][1:] != s["n"][:-1])
     return s, new
 
 
+def pack(s: np.ndarray) -> bytes:
+    """Segments by field and byte, so that high bytes, which are mostly equal, stand together for the compressor."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(s[f]).view(np.uint8).reshape(len(s), 8).T).tobytes() for f in SEGMENT.names)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = len(data) // SEGMENT.itemsize
+    out = np.zeros(n, dtype=SEGMENT)
+    for k, f in enumerate(SEGMENT.names):
+        part = np.frombuffer(data, dtype=np.uint8, count=8 * n, offset=8 * n * k).reshape(8, n)
+        out[f] = np.ascontiguousarray(part.T).view(SEGMENT[f]).reshape(n)
+    return out
+
+
+def merged(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Windows as runs of neighbours."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    lead = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
+    out = np.zeros(len(lead), dtype=SEGMENT)
+    out["doc"], out["pos"], out["n"] = doc[lead], pos[lead], np.diff(np.append(lead, len(doc)))
+    return out
+
+
 def _repeats(s: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Those that start later than the first one; the same place again (a repeated row) is no repeat."""
     if not len(s):
@@ -139,7 +172,7 @@ def _dealt(s: np.ndarray, buckets: int, by: str) -> pa.RecordBatch:
     to = (mix(s[by] ^ _D) % np.uint64(buckets)).astype(np.int64)
     s = s[np.argsort(to, kind="stable")]
     found, first = np.unique(np.sort(to), return_index=True)
-    return _batch([(int(b), SPREAD, 0, 0, 0, x.tobytes()) for b, x in zip(found, np.split(s, first[1:]), strict=True)] if len(s) else [], MARKS)
+    return _batch([(int(b), SPREAD, 0, 0, 0, pack(x)) for b, x in zip(found, np.split(s, first[1:]), strict=True)] if len(s) else [], MARKS)
 
 
 def _collect(buckets: int):
@@ -170,7 +203,7 @@ def _collect(buckets: int):
 
 def _match(group: pa.Table, limit: int = HOT) -> Iterator[pa.RecordBatch]:
     """A bucket of segments: repeats are marked; contents that share an anchor are to be compared."""
-    s, new = resolve(np.concatenate([np.frombuffer(x, dtype=SEGMENT) for x in group.column("data").to_pylist()]))
+    s, new = resolve(np.concatenate([unpack(x) for x in group.column("data").to_pylist()]))
     yield _rows(MARK, _repeats(s, new))
     one = s[new]
     lead = np.concatenate(([True], one["anchor"][1:] != one["anchor"][:-1]))
@@ -248,7 +281,7 @@ def _fetch(shards: int, buckets: int, keep: bool):
                 w = _windows(raw, doc, s_pos[ok], s_n[ok])
                 to = (mix(w["anchor"] ^ _D) % np.uint64(buckets)).astype(np.int64)
                 for b in np.unique(to):
-                    rows.append((3, doc, 0, 0, 0, None, w[to == b].tobytes(), None, None, int(b), None))
+                    rows.append((3, doc, 0, 0, 0, None, pack(w[to == b]), None, None, int(b), None))
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(11)]
         long = pa.int64()
         kinds = [pa.int32(), long, long, long, long, pa.string(), pa.binary(), pa.list_(long), pa.list_(long), long, long]
@@ -279,16 +312,13 @@ def _compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
     lead = np.concatenate(([True], klass[1:] != klass[:-1])) if len(klass) else np.zeros(0, bool)
     first = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(klass) else lead
     later = (d != d[first]) | (p != p[first])
-    out = np.zeros(int(later.sum()), dtype=SEGMENT)
-    out["doc"], out["pos"], out["n"] = d[later], p[later], 1
-    yield _rows(MARK, out)
+    yield _rows(MARK, merged(d[later], p[later]))
 
 
 def _match_windows(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    s, new = resolve(np.concatenate([np.frombuffer(x, dtype=SEGMENT) for x in group.column("kept").to_pylist()]))
-    out = _repeats(s, new).copy()
-    out["n"] = 1
-    yield _rows(MARK, out)
+    s, new = resolve(np.concatenate([unpack(x) for x in group.column("kept").to_pylist()]))
+    found = _repeats(s, new)
+    yield _rows(MARK, merged(found["doc"], found["pos"]))
 
 
 def _finish(keep: bool):
