@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     member = member.select("key", "doc_id", "blocks", F.when(F.col("doc_id") == F.col("centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(own)).alias("in"))
     member = store(member.select("key", F.explode("in").alias("block"), "doc_id", "blocks"), "members")
-    source = store(source.join(member.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    # The candidates grow with the corpus, so they are merged at every size and never broadcast.
+    source = store(source.join(member.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "candidates")
     links = store(_check(member.select("key", "block", "doc_id", F.col("doc_id").alias("label")), source), "links")
     of = components(links)
     large = member.where("blocks > 1").drop("blocks").distinct()
