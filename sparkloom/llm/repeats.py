@@ -23,6 +23,7 @@ decides; a null doc_id is the smallest; other columns do not matter.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from functools import partial
@@ -41,8 +42,8 @@ from .suffix import permuted_lcp, suffix_array
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1  # 32-byte strings in a window
 SHARD, HOT = 1 << 20, 16384
-PART = 1 << 20  # bytes hashed at a time
-TASK_SEGMENTS = 1_000_000
+PART = 1 << 18  # bytes hashed at a time
+TASK_SEGMENTS = 400_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * c) for c in (_C, _D)]
@@ -56,6 +57,14 @@ MARK, COMPARE, SPREAD, TEXT = 0, 1, 2, 3
 _tables: dict[int, np.ndarray] = {}
 
 
+def _trim() -> None:
+    """Give freed memory back: workers live on, and what their allocator holds counts against the executor."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     have = _tables.get(base)
     if have is None or len(have) < n:
@@ -184,8 +193,11 @@ def _collect(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             s, new = resolve(np.concatenate(held))
+            held.clear()
             yield _rows(MARK, _repeats(s, new))
             yield _dealt(s[new], buckets, "anchor")
+            del s, new
+            _trim()
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -194,7 +206,7 @@ def _collect(buckets: int):
                     size += len(part)
                 if size > TASK_SEGMENTS:
                     yield from flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
@@ -213,6 +225,8 @@ def _match(group: pa.Table, limit: int = HOT) -> Iterator[pa.RecordBatch]:
     few = ~hot & ((contents > 1) | (np.bincount(group_of, one["twice"])[group_of] > 0))
     yield _rows(COMPARE, one[few], one["anchor"][few].view(np.int64))
     yield _rows(SPREAD, one[hot], one["anchor"][hot].view(np.int64))
+    del s, new, one
+    _trim()
 
 
 def _windows(raw: bytes, doc: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -313,6 +327,8 @@ def _compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(klass) else lead
     later = (d != d[first]) | (p != p[first])
     yield _rows(MARK, merged(d[later], p[later]))
+    del text, sa, lcp, of, offset, room, klass
+    _trim()
 
 
 def _match_windows(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -339,7 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: bytes, bytes and runs removed, and what is kept (its digest always, the bytes when ``keep``)."""
     source = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, size // (16 << 20))
+    buckets = max(16, size // (4 << 20))
     cut_up = store(source.mapInArrow(_collect(buckets), MARKS), "segments")
     dealt = cut_up.where(F.col("kind") == SPREAD).select(F.col("doc_id").alias("bucket"), "data")
     matched = store(map_groups(dealt, ["bucket"], partial(_match, limit=hot), MARKS), "matched")
