@@ -29,7 +29,7 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-_GAPS = re.compile(r"[ \t\r\f\v]+")
+_GAPS = re.compile(r"[ \t\r\f\v]{2,}|[\t\r\f\v]")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -81,8 +81,8 @@ def _unchunk(data: bytes) -> bytes:
 
 
 def plain_text(markup: str) -> str:
-    """Visible text: a line for each block, runs of blanks as one."""
-    text = _BLOCK.sub("\n", _HIDDEN.sub(" ", markup))
+    """Text of markup without hidden parts: a line for each block, runs of blanks as one."""
+    text = _BLOCK.sub("\n", markup)
     text = _TAG.sub("", text)
     if "&" in text:
         text = entities.unescape(text)
@@ -113,7 +113,7 @@ def derive(source_id: str, uri: str, date: str, block: bytes) -> list[tuple]:
     meta += [("outlink", x) for x in links(visible)]
     blocks = (
         ("metadata", "application/warc-fields", "".join(f"{k}: {' '.join(v.split())}{CRLF}" for k, v in meta if v).encode()),
-        ("conversion", "text/plain; charset=utf-8", plain_text(markup).encode()),
+        ("conversion", "text/plain; charset=utf-8", plain_text(visible).encode()),
     )
     out = []
     for kind, content, data in blocks:
