@@ -12,30 +12,51 @@ from pyspark.sql import functions as F
 from .common import store
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows with equal values in the first ``keys`` (integer) columns, also across batches."""
-    held: list[pa.RecordBatch] = []
+Group = dict[str, "np.ndarray | list"]
+
+
+def _plain(column: pa.Array) -> np.ndarray | list:
+    """Numbers without nulls as an array, anything else as a list."""
+    if column.null_count == 0 and pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return column.to_pylist()
+
+
+def _joined(parts: list[Group]) -> Group:
+    if len(parts) == 1:
+        return parts[0]
+    out: Group = {}
+    for name in parts[0]:
+        own = [p[name] for p in parts]
+        out[name] = np.concatenate(own) if all(isinstance(x, np.ndarray) for x in own) else [y for x in own for y in (x.tolist() if isinstance(x, np.ndarray) else x)]
+    return out
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[Group]:
+    """Consecutive rows with equal values in the first ``keys`` (integer, not null) columns, also across batches; columns by name."""
+    held: list[Group] = []
     last: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        columns = {n: _plain(batch.column(i)) for i, n in enumerate(batch.schema.names)}
+        by = list(columns.values())[:keys]
         change = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
+        for c in by:
             change[1:] |= c[1:] != c[:-1]
         edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            now = tuple(c[a] for c in columns)
+            now = tuple(c[a] for c in by)
             if held and now != last:
-                yield pa.Table.from_batches(held)
+                yield _joined(held)
                 held = []
-            held.append(batch.slice(a, b - a))
+            held.append({n: c[a:b] for n, c in columns.items()})
             last = now
     if held:
-        yield pa.Table.from_batches(held)
+        yield _joined(held)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[Group], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over each group of equal integer ``keys``; a group must fit in a task."""
     ordered = df.select(*keys, *[c for c in df.columns if c not in keys])
 

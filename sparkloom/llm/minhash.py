@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, texts
-from .groups import components, map_groups
+from .groups import Group, components, map_groups
 from .shingles import WORDS, mix, shared, shingles
 
 BANDS, ROWS, BLOCK = 32, 4, 512
@@ -132,8 +132,8 @@ def forest(ids: list[int], sets: list[np.ndarray], label: list[int]) -> list[tup
 def _check(members: DataFrame, source: DataFrame) -> DataFrame:
     """Links within the groups (key, block) of ``members`` (key, block, doc_id, label)."""
 
-    def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, label, raw = (group.column(c).to_pylist() for c in ("doc_id", "label", "text"))
+    def verify(group: Group) -> Iterator[pa.RecordBatch]:
+        ids, label, raw = list(group["doc_id"]), list(group["label"]), group["text"]
         first = {d: i for i, d in enumerate(ids)}  # a doc_id of several rows counts once
         at = sorted(first.values())
         if len(at) < 2 or len({label[i] for i in at}) < 2:

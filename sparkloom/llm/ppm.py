@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import store
-from .groups import map_groups
+from .groups import Group, map_groups
 from .shingles import mix, word_hashes
 
 CHUNK_BYTES = 4 << 20
@@ -134,9 +134,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     buckets = max(16, -(-chunks // 4))
     dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
-    def ask(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        chunk = group.column("chunk")[0].as_py()
-        raws, held = group.column("text").to_pylist(), group.column("held_out").to_pylist()
+    def ask(group: Group) -> Iterator[pa.RecordBatch]:
+        chunk = int(group["chunk"][0])
+        raws, held = group["text"], group["held_out"]
         rows = []
         for kind, (keys, n) in _wanted(raws, [not x for x in held]).items():
             rows += [(kind, b, chunk, keys[at].astype("<u8" if kind == WORDS else "<u4").tobytes(), n[at].astype("<i8").tobytes()) for b, at in _by_bucket(kind, keys, buckets)]
@@ -158,15 +158,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         order1[r["code"]] = r["n"]
     order1 = order1.reshape(256, 256)
 
-    def answer(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
-        asked = [np.frombuffer(x, "<u8" if kind == WORDS else "<u4") for x in group.column("keys").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<i8") for x in group.column("counts").to_pylist()])
+    def answer(group: Group) -> Iterator[pa.RecordBatch]:
+        kind, bucket = int(group["kind"][0]), int(group["bucket"][0])
+        asked = [np.frombuffer(x, "<u8" if kind == WORDS else "<u4") for x in group["keys"]]
+        n = np.concatenate([np.frombuffer(x, "<i8") for x in group["counts"]])
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, n, len(keys))
         values = total.astype("<i8") if kind == WORDS else log_probabilities(keys, total, order1).astype("<f4")
         ends = np.cumsum([len(x) for x in asked])
-        rows = [(c, kind, bucket, values[part].tobytes(), 0, 0) for c, part in zip(group.column("chunk").to_pylist(), np.split(at, ends[:-1]), strict=True)]
+        rows = [(c, kind, bucket, values[part].tobytes(), 0, 0) for c, part in zip(group["chunk"], np.split(at, ends[:-1]), strict=True)]
         if kind == WORDS:
             rows[0] = (*rows[0][:4], int((total > 0).sum()), int(total.sum()))
         yield _batch(rows, ANSWERS)
@@ -179,11 +179,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = dealt.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("text").alias("data"), "doc_id", "held_out")
     rows = rows.unionByName(answers.select("chunk", "kind", "bucket", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")))
 
-    def finish(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind, bucket, data = (group.column(c).to_pylist() for c in ("kind", "bucket", "data"))
+    def finish(group: Group) -> Iterator[pa.RecordBatch]:
+        kind, bucket, data = group["kind"].tolist(), group["bucket"].tolist(), group["data"]
         docs_at = [i for i, k in enumerate(kind) if k == 0]
-        held = group.column("held_out").to_pylist()
-        ids = group.column("doc_id").to_pylist()
+        held = group["held_out"]
+        ids = group["doc_id"]
         found = {(k, b): x for k, b, x in zip(kind, bucket, data, strict=True) if k}
         table = {}
         for k, (keys, _) in _wanted([data[i] for i in docs_at], [not held[i] for i in docs_at]).items():

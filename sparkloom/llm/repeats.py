@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, texts
-from .groups import map_groups
+from .groups import Group, map_groups
 from .ppm import _batch
 from .shingles import mix
 from .suffix import permuted_lcp, suffix_array
@@ -213,9 +213,9 @@ def _collect(buckets: int):
     return run
 
 
-def _match(group: pa.Table, limit: int = HOT) -> Iterator[pa.RecordBatch]:
+def _match(group: Group, limit: int = HOT) -> Iterator[pa.RecordBatch]:
     """A bucket of segments: repeats are marked; contents that share an anchor are to be compared."""
-    s, new = resolve(np.concatenate([unpack(x) for x in group.column("data").to_pylist()]))
+    s, new = resolve(np.concatenate([unpack(x) for x in group["data"]]))
     yield _rows(MARK, _repeats(s, new))
     one = s[new]
     lead = np.concatenate(([True], one["anchor"][1:] != one["anchor"][:-1]))
@@ -260,22 +260,21 @@ def _result(doc: int, raw: bytes, pos: np.ndarray, n: np.ndarray, keep: bool) ->
     return (None if doc == NULL_ID else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep else None)
 
 
-def _columns(group: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds = group.column("kind").to_numpy()
-    at = kinds == kind
-    return tuple(group.column(c).to_numpy(zero_copy_only=False)[at] for c in ("pos", "n", "key"))
+def _columns(group: Group, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = group["kind"] == kind
+    return tuple(group[c][at] for c in ("pos", "n", "key"))
 
 
-def _texts_of(group: pa.Table) -> list[bytes]:
-    return [x for x, k in zip(group.column("data").to_pylist(), group.column("kind").to_pylist(), strict=True) if k == TEXT]
+def _texts_of(group: Group) -> list[bytes]:
+    return [group["data"][i] for i in np.flatnonzero(group["kind"] == TEXT)]
 
 
 def _fetch(shards: int, buckets: int, keep: bool):
     """A document with its marks: done if nothing is to be compared; else its texts to compare, and itself for the last step."""
     schema = f"stage int, {RESULT}, pos array<long>, n array<long>, shard long, key long"
 
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc = group.column("doc_id")[0].as_py()
+    def run(group: Group) -> Iterator[pa.RecordBatch]:
+        doc = int(group["doc_id"][0])
         pos, n, _ = _columns(group, MARK)
         rows: list[tuple] = []
         c_pos, c_n, c_key = _columns(group, COMPARE)
@@ -304,9 +303,9 @@ def _fetch(shards: int, buckets: int, keep: bool):
     return run, schema
 
 
-def _compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+def _compare(group: Group) -> Iterator[pa.RecordBatch]:
     """A shard: its segments are joined (each ended by a letter of its own kind), sorted, and equal windows resolved."""
-    data, doc, pos = (group.column(c).to_pylist() for c in ("kept", "doc_id", "pos"))
+    data, doc, pos = group["kept"], group["doc_id"], group["pos"]
     sizes = np.array([len(x) + 1 for x in data])
     text = np.frombuffer(b"".join(x + b"\0" for x in data), dtype=np.uint8).astype(np.uint16) + 1
     ends = np.cumsum(sizes)
@@ -331,18 +330,18 @@ def _compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
     _trim()
 
 
-def _match_windows(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    s, new = resolve(np.concatenate([unpack(x) for x in group.column("kept").to_pylist()]))
+def _match_windows(group: Group) -> Iterator[pa.RecordBatch]:
+    s, new = resolve(np.concatenate([unpack(x) for x in group["kept"]]))
     found = _repeats(s, new)
     yield _rows(MARK, merged(found["doc"], found["pos"]))
 
 
 def _finish(keep: bool):
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc = group.column("doc_id")[0].as_py()
+    def run(group: Group) -> Iterator[pa.RecordBatch]:
+        doc = int(group["doc_id"][0])
         pos, n, _ = _columns(group, MARK)
         rows = []
-        for raw, k, q, m in zip(*(group.column(c).to_pylist() for c in ("data", "kind", "more_pos", "more_n")), strict=True):
+        for raw, k, q, m in zip(*(group[c] for c in ("data", "kind", "more_pos", "more_n")), strict=True):
             if k == TEXT:
                 ok = pos + n + WINDOW - 1 <= len(raw)
                 rows.append(_result(doc, raw, np.concatenate((pos[ok], np.array(q, np.int64))), np.concatenate((n[ok], np.array(m, np.int64))), keep))
