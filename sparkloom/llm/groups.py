@@ -58,11 +58,20 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[Group]:
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[Group], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over each group of equal integer ``keys``; a group must fit in a task."""
+
+    def each(groups: Iterator[Group]) -> Iterator[pa.RecordBatch]:
+        for group in groups:
+            yield from fn(group)
+
+    return map_all_groups(df, keys, each, schema)
+
+
+def map_all_groups(df: DataFrame, keys: list[str], fn: Callable[[Iterator[Group]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` over the groups of a task one after another, so that small ones can share a batch of results."""
     ordered = df.select(*keys, *[c for c in df.columns if c not in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, len(keys)):
-            yield from fn(group)
+        return fn(runs(batches, len(keys)))
 
     return ordered.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

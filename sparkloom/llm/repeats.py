@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import store, texts
-from .groups import Group, map_groups
+from .groups import Group, map_all_groups, map_groups
 from .ppm import _batch
 from .shingles import mix
 from .suffix import permuted_lcp, suffix_array
@@ -273,32 +273,35 @@ def _fetch(shards: int, buckets: int, keep: bool):
     """A document with its marks: done if nothing is to be compared; else its texts to compare, and itself for the last step."""
     schema = f"stage int, {RESULT}, pos array<long>, n array<long>, shard long, key long"
 
-    def run(group: Group) -> Iterator[pa.RecordBatch]:
+    def one(group: Group) -> Iterator[tuple]:
         doc = int(group["doc_id"][0])
         pos, n, _ = _columns(group, MARK)
-        rows: list[tuple] = []
         c_pos, c_n, c_key = _columns(group, COMPARE)
         s_pos, s_n, _ = _columns(group, SPREAD)
         for raw in _texts_of(group):
             ok = pos + n + WINDOW - 1 <= len(raw)  # rows with equal doc_id may differ in length
             if not len(c_pos) and not len(s_pos):
-                rows.append((0, *_result(doc, raw, pos[ok], n[ok], keep), None, None, None, None))
+                yield (0, *_result(doc, raw, pos[ok], n[ok], keep), None, None, None, None)
                 continue
-            rows.append((1, doc, len(raw), 0, 0, None, raw, pos[ok].tolist(), n[ok].tolist(), None, None))
-            for p, k, key in zip(c_pos.tolist(), c_n.tolist(), c_key.tolist(), strict=True):
+            yield 1, doc, len(raw), 0, 0, None, raw, pos[ok].tolist(), n[ok].tolist(), None, None
+            to = (mix(c_key.view(np.uint64)) % np.uint64(shards)).tolist()
+            for p, k, key, shard in zip(c_pos.tolist(), c_n.tolist(), c_key.tolist(), to, strict=True):
                 if p + k + WINDOW - 1 <= len(raw):
-                    shard = int(mix(np.array([key]).view(np.uint64))[0] % np.uint64(shards))
-                    rows.append((2, doc, 0, 0, 0, None, raw[p : p + k + WINDOW - 1], [p], None, shard, key))
+                    yield 2, doc, 0, 0, 0, None, raw[p : p + k + WINDOW - 1], [p], None, shard, key
             ok = s_pos + s_n + WINDOW - 1 <= len(raw)
             if ok.any():
                 w = _windows(raw, doc, s_pos[ok], s_n[ok])
                 to = (mix(w["anchor"] ^ _D) % np.uint64(buckets)).astype(np.int64)
                 for b in np.unique(to):
-                    rows.append((3, doc, 0, 0, 0, None, pack(w[to == b]), None, None, int(b), None))
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(11)]
-        long = pa.int64()
-        kinds = [pa.int32(), long, long, long, long, pa.string(), pa.binary(), pa.list_(long), pa.list_(long), long, long]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                    yield 3, doc, 0, 0, 0, None, pack(w[to == b]), None, None, int(b), None
+
+    long = pa.int64()
+    kinds = [pa.int32(), long, long, long, long, pa.string(), pa.binary(), pa.list_(long), pa.list_(long), long, long]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(groups: Iterator[Group]) -> Iterator[pa.RecordBatch]:
+        for rows in _batches(one, groups, 6):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run, schema
 
@@ -312,21 +315,24 @@ def _compare(group: Group) -> Iterator[pa.RecordBatch]:
     text[ends - 1] = 0
     sa = suffix_array(text)
     lcp = permuted_lcp(text, sa)
-    of = np.repeat(np.arange(len(data)), sizes)
-    offset = np.arange(len(text)) - (ends - sizes)[of]
-    room = offset + WINDOW < sizes[of]  # a whole window before the segment's end
-    klass = np.cumsum(lcp[sa] < WINDOW)
-    use = room[sa]
-    place, klass = sa[use], klass[use]
-    d = np.array(doc, dtype=np.int64)[of[place]]
-    p = np.array([x[0] for x in pos], dtype=np.int64)[of[place]] + offset[place]
+    alone = lcp[sa] < WINDOW
+    klass = np.cumsum(alone)
+    paired = ~alone
+    paired[:-1] |= paired[1:]  # the first of each class too
+    place, klass = sa[paired], klass[paired]
+    of = np.searchsorted(ends, place, side="right")
+    offset = place - (ends - sizes)[of]
+    use = offset + WINDOW < sizes[of]  # a whole window before the segment's end
+    place, klass, of, offset = place[use], klass[use], of[use], offset[use]
+    d = np.array(doc, dtype=np.int64)[of]
+    p = np.array([x[0] for x in pos], dtype=np.int64)[of] + offset
     order = np.lexsort((p, d, klass))
     d, p, klass = d[order], p[order], klass[order]
     lead = np.concatenate(([True], klass[1:] != klass[:-1])) if len(klass) else np.zeros(0, bool)
     first = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(klass) else lead
     later = (d != d[first]) | (p != p[first])
     yield _rows(MARK, merged(d[later], p[later]))
-    del text, sa, lcp, of, offset, room, klass
+    del text, sa, lcp, of, offset, klass, alone, paired
     _trim()
 
 
@@ -337,19 +343,36 @@ def _match_windows(group: Group) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(keep: bool):
-    def run(group: Group) -> Iterator[pa.RecordBatch]:
+    def one(group: Group) -> Iterator[tuple]:
         doc = int(group["doc_id"][0])
         pos, n, _ = _columns(group, MARK)
-        rows = []
         for raw, k, q, m in zip(*(group[c] for c in ("data", "kind", "more_pos", "more_n")), strict=True):
             if k == TEXT:
                 ok = pos + n + WINDOW - 1 <= len(raw)
-                rows.append(_result(doc, raw, np.concatenate((pos[ok], np.array(q, np.int64))), np.concatenate((n[ok], np.array(m, np.int64))), keep))
-        yield _batch(rows, RESULT)
+                yield _result(doc, raw, np.concatenate((pos[ok], np.array(q, np.int64))), np.concatenate((n[ok], np.array(m, np.int64))), keep)
+
+    def run(groups: Iterator[Group]) -> Iterator[pa.RecordBatch]:
+        for rows in _batches(one, groups, 5):
+            yield _batch(rows, RESULT)
 
     return run
 
 
+def _batches(one, groups: Iterator[Group], data: int, rows: int = 4000, size: int = 4 << 20) -> Iterator[list[tuple]]:
+    """The rows of many groups together; ``data`` is the place of their bytes, which bound a batch too."""
+    held: list[tuple] = []
+    total = 0
+    for group in groups:
+        for row in one(group):
+            held.append(row)
+            total += len(row[data] or b"")
+            if len(held) >= rows or total >= size:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, bytes and runs removed, and what is kept (its digest always, the bytes when ``keep``)."""
     source = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
@@ -363,11 +386,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing = F.lit(None).cast("binary")
     rows = marks.withColumn("data", nothing).unionByName(source.select("doc_id", F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.col("text").alias("data")))
     fetch, schema = _fetch(max(1, -(-compare // shard)), buckets, keep)
-    fetched = store(map_groups(rows, ["doc_id"], fetch, schema), "fetched")
+    fetched = store(map_all_groups(rows, ["doc_id"], fetch, schema), "fetched")
     found = map_groups(fetched.where("stage = 2").select("shard", "doc_id", "pos", "kept"), ["shard"], _compare, MARKS)
     spread = map_groups(fetched.where("stage = 3").select("shard", "kept"), ["shard"], _match_windows, MARKS)
     late = fetched.where("stage = 1").select("doc_id", F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.col("kept").alias("data"), F.col("pos").alias("more_pos"), F.col("n").alias("more_n"))
     none = F.lit(None).cast("array<long>")
-    rest = map_groups(found.unionByName(spread).withColumns({"more_pos": none, "more_n": none}).unionByName(late), ["doc_id"], _finish(keep), RESULT)
+    rest = map_all_groups(found.unionByName(spread).withColumns({"more_pos": none, "more_n": none}).unionByName(late), ["doc_id"], _finish(keep), RESULT)
     names = [x.split()[0] for x in RESULT.split(", ")]
     return fetched.where("stage = 0").select(*names).unionByName(rest)

@@ -31,7 +31,8 @@ def _put(sa: np.ndarray, items: np.ndarray, letters: np.ndarray, edge: np.ndarra
     """Append items, in order, to their letters' buckets; up: from the left, else from the right."""
     order = np.argsort(letters, kind="stable")
     sorted_letters = letters[order]
-    found, first, counts = np.unique(sorted_letters, return_index=True, return_counts=True)
+    first = np.concatenate(([0], np.flatnonzero(sorted_letters[1:] != sorted_letters[:-1]) + 1)) if len(items) else np.zeros(0, np.int64)
+    found, counts = sorted_letters[first], np.diff(np.append(first, len(items)))
     rank = np.arange(len(items)) - np.repeat(first, counts)
     if up:
         sa[np.repeat(edge[found], counts) + rank] = items[order]
@@ -179,8 +180,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Places of the suffixes of an array of numbers from 0 on, in order."""
     if not len(text):
         return np.zeros(0, dtype=np.int64)
-    found, dense = np.unique(text, return_inverse=True)
-    return _sort(np.append(dense.astype(np.int64) + 1, 0), len(found) + 1)[1:]
+    if text.dtype.itemsize <= 2:
+        used = np.bincount(text, minlength=int(text.max()) + 1) > 0
+        letters, dense = int(used.sum()), (np.cumsum(used) - 1)[text]
+    else:
+        found, dense = np.unique(text, return_inverse=True)
+        letters = len(found)
+    return _sort(np.append(dense.astype(np.int64) + 1, 0), letters + 1)[1:]
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
