@@ -91,3 +91,18 @@ def guard(items: DataFrame, prompts: DataFrame, limit: int = 3) -> DataFrame:
     hits = similar(guarded, prompts, 2, 0.5, "item").join(prompts.select("query_id", "session_id", "ts"), "query_id")
     first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "id").orderBy("ts", "query_id"))).where("_n = 1")
     return top(first, limit, F.desc("shared"), F.col("id")).select("query_id", "session_id", "id", "shared", F.col("rank").cast("long").alias("rank"))
+
+
+def rerank_code(hits: DataFrame, names: DataFrame, query: str, limit: int) -> DataFrame:
+    """Code hits (id, score) with bonuses for names (id, name, path, line, kind, rank) that the query spells."""
+    from ..functions import text as T
+
+    asked = F.array_distinct(T.split_identifier(F.lit(query)))
+    compact = F.array_join(asked, "")
+    h = hits.join(names, "id").where(~F.col("kind").isin("dir", "package"))
+    top_of = h.agg(F.max("score").alias("_top"), F.max("rank").alias("_most"))
+    own = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    bonus = F.when(own == compact, 1.0).when(F.size(F.array_except(asked, T.split_identifier(F.col("name")))) == 0, 0.5).when(own.startswith(compact), 0.2).otherwise(0.0)
+    score = F.col("score") / F.col("_top") + bonus - F.when(F.col("kind") == "file", 0.05).otherwise(0.0) + 0.15 * F.coalesce(F.col("rank") / F.col("_most"), F.lit(0.0))
+    ranked = h.crossJoin(F.broadcast(top_of)).withColumn("score", F.round(score, 4))  # one row
+    return ranked.orderBy(F.desc("score"), "path", "line").limit(limit).select("id", "name", "path", "line", "score")

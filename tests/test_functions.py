@@ -157,3 +157,27 @@ def test_code_files(spark, tmp_path):
     (tmp_path / "src" / ".env").write_text("k=1")
     (tmp_path / "node_modules" / "c.js").write_text("1")
     assert [r.path for r in tables.code_files(spark, str(tmp_path)).collect()] == ["src/a.py"]
+
+
+def test_rules_and_manifests(spark):
+    from sparkloom.sources import rules
+
+    o = rules.Options().over({"fold_chars": 500, "fold": "yes", "other": 1}, {"fold_tools": ["A"]})
+    assert (o.fold_chars, o.fold, o.fold_tools) == (500, True, ("A",))
+    globs = ["*.min.js", "gen/", "# note", "doc?/x[0-9].md"]
+    got = {p: value(spark, rules.ignored(F.col("t"), globs), t=p) for p in ("a/b.min.js", "src/gen/x.py", "docs/x1.md", "docs/xa.md", "src/a.py")}
+    assert got == {"a/b.min.js": True, "src/gen/x.py": True, "docs/x1.md": True, "docs/xa.md": False, "src/a.py": False}
+    files = spark.createDataFrame(
+        [("w/package.json", '{"dependencies": {"a": "1"}, "devDependencies": {"b": "1", "a": "2"}}'), ("pyproject.toml", '[project]\ndependencies = ["x>=1", "y[z]"]\n'), ("requirements.txt", "# c\nq==1\nr\n"), ("go.mod", "module m\nrequire (\n\tgithub.com/a/b v1.0\n)\n"), ("pubspec.yaml", "name: n\ndependencies:\n  http: ^1\n  path: any\n"), ("Cargo.toml", "broken ["), ("a.py", "x")],
+        "path string, text string",
+    )
+    found = {}
+    for r in rules.manifests(files).orderBy("path", "ord").collect():
+        found.setdefault(r.path, []).append(r.dependency)
+    assert found == {"w/package.json": ["a", "b"], "pyproject.toml": ["x", "y"], "requirements.txt": ["q", "r"], "go.mod": ["github.com/a/b"], "pubspec.yaml": ["http", "path"]}
+
+
+def test_code_names_that_the_query_spells_come_first(spark):
+    hits = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 1.0), (4, 2.0)], "id long, score double")
+    names = spark.createDataFrame([(1, "parseAll", "a.py", 1, "function", 0.1), (2, "userNameOf", "b.py", 1, "function", 0.2), (3, "user_name", "c.py", 1, "function", 0.1), (4, "d", "d", 0, "dir", 0.1)], "id long, name string, path string, line long, kind string, rank double")
+    assert [r.id for r in retrieval.rerank_code(hits, names, "userName", 5).collect()] == [2, 3, 1]
