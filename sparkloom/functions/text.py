@@ -69,11 +69,13 @@ def terms(text: Column) -> Column:
     def own(w: Column) -> Column:
         low = F.lower(w)
         number = w.rlike("^[0-9]+$")
-        word = ~number & (F.length(w) >= 3) & ~F.array_contains(stop, low)
-        subs = F.filter(split_identifier(w), lambda s: (F.length(s) >= 3) & ~F.array_contains(stop, s))
-        return F.when(number & (F.length(w) >= 2), F.array(w)).when(word, F.concat(F.array(low), subs)).otherwise(F.array().cast("array<string>"))
+        compound = w.rlike("_|[a-z0-9][A-Z]|[A-Z]{2}[a-z]")  # only these have words of their own
+        word = ~number & (F.length(w) >= 3)
+        subs = F.filter(split_identifier(w), lambda s: F.length(s) >= 3)
+        nothing = F.array().cast("array<string>")
+        return F.when(number, F.when(F.length(w) >= 2, F.array(w)).otherwise(nothing)).when(word & compound, F.when(F.array_contains(stop, low), nothing).otherwise(F.concat(F.array(low), subs))).when(word, F.array(low)).otherwise(nothing)
 
-    return F.array_distinct(F.flatten(F.transform(tokens(text), own)))
+    return F.array_except(F.flatten(F.transform(F.array_distinct(tokens(text)), own)), stop)
 
 
 def query_words(text: Column) -> Column:
