@@ -23,12 +23,14 @@ def base(path: Column) -> Column:
 
 def is_test(path: Column) -> Column:
     """P10."""
+    # Folders and names of tests.
     p = F.lower(path)
     return p.rlike(r"(^|/)(tests?|__tests__|spec|specs|e2e|testing)(/|$)") | base(p).rlike(r"^(test_.*|.*_test\.\w+|.*\.test\.\w+|.*\.spec\.\w+|.*_spec\.\w+|.*tests?\.\w+)$")
 
 
 def is_secret(path: Column) -> Column:
     """P9."""
+    # Folders and names of secrets.
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
     return p.rlike(r"(^|/)(secrets|\.env)/") | base(p).rlike(r"^\.env|^id_rsa|^id_ed25519|credentials|\.(pem|key|p12|pfx|keystore|jks)$")
 

@@ -163,12 +163,14 @@ def bar(value: Column, most: Column, width: int = 20) -> Column:
 
 def id_text(kind: Column, number: Column) -> Column:
     """F8."""
+    # The letter of each kind.
     prefix = F.create_map(*[F.lit(x) for kv in {"pin": "P", "decision": "D", "task": "T", "error": "E", "note": "N", "handoff": "H", "turn": "M", "fold": "F"}.items() for x in kv])
     return F.concat(prefix[kind], number.cast("string"))
 
 
 def looks_done(text: Column) -> Column:
     """A word of completion, unless the text starts by asking to complete something."""
+    # Words of completion, and how a request to complete something starts.
     words = r"(?i)\b(complete|completed|done|finished|shipped|resolved)\b"
     n = F.regexp_count(text, F.lit(words))
     asks = text.rlike(r"(?i)^\s*complete\s+(?![:\-–—])")
@@ -177,6 +179,7 @@ def looks_done(text: Column) -> Column:
 
 def is_snapshot(text: Column) -> Column:
     """A dated progress line rather than a rule."""
+    # How progress lines start.
     return text.rlike(
         r"(?i)^\s*(checkpoint\b|phase\s*\d+\s*(done|complete|completed)\b|.{0,40}\b(live\s+)?progress\b|status\b|.{0,30}\bstatus\s+\d{4}-\d\d-\d\d|"
         r"verification at checkpoint|audit\s+\d{4}-\d\d-\d\d|(?-i:[A-Z0-9 _-]{3,40}\b(DONE|COMPLETE|COMPLETED|LIVE)\b[^:(]{0,20}[:(]))"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH = "2024-01-01 00:00:00"
+# Kinds of records, their statuses, and those that still hold.
 KINDS = ["pin", "decision", "task", "error", "note", "handoff"]
 STATUSES = {
     "pin": ["active", "retired", "superseded"],
