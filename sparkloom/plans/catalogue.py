@@ -53,10 +53,18 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-ASKED = "asked AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
+FIRST_LINE = r"trim(regexp_replace(string_split(trim(text, chr(32)), chr(10))[1], '[ \t\r\f\v]+', ' ', 'g')) AS line"
+TITLE = r"CASE WHEN length(line) <= 80 THEN line ELSE regexp_replace(CASE WHEN instr(substr(line, 1, 79), ' ') > 0 AND 79 - instr(reverse(substr(line, 1, 79)), ' ') >= 48 THEN substr(line, 1, 79 - instr(reverse(substr(line, 1, 79)), ' ')) ELSE substr(line, 1, 79) END, '[ ,;:\-]+$', '') || '…' END AS title"
+
+
+def _title(text):
+    return T.truncate(F.element_at(F.split(F.trim(text), "\n"), 1), 80)
+
+
+ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def _bm25_sql(docs: str, id_col: str) -> str:
@@ -106,14 +114,14 @@ def similar_items(spark, sf):
     return retrieval.similar(S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _asked(spark, sf))
 
 
-@query(f"""WITH {ITEMS}, {TURNS}, g AS (SELECT doc_id AS id, {TERMS.format("substr(text, 1, 40)")} t FROM items WHERE (kind = 'decision' AND status = 'rejected') OR (kind = 'pin' AND status = 'active' AND priority)),
+@query(f"""WITH {ITEMS}, {TURNS}, g AS (SELECT doc_id AS id, {TERMS.format("title")} t FROM (SELECT *, {TITLE} FROM (SELECT *, {FIRST_LINE} FROM items)) WHERE (kind = 'decision' AND status = 'rejected') OR (kind = 'pin' AND status = 'active' AND priority)),
 q AS (SELECT id AS query_id, session_id, created_at AS ts, {TERMS.format('text')} q FROM turns WHERE role = 'user'),
 h AS (SELECT query_id, session_id, ts, id, count(*) shared FROM (SELECT id, len(t) n, unnest(t) term FROM g) JOIN (SELECT query_id, session_id, ts, unnest(q) term FROM q WHERE len(q) >= 2) USING (term) GROUP BY ALL HAVING true),
 k AS (SELECT h.*, len(t) n FROM h JOIN g USING (id) WHERE shared >= 2 AND shared >= 0.5 * greatest(1, len(t))),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, id ORDER BY ts, query_id) r FROM k) WHERE r = 1)
 SELECT query_id, session_id, id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) rank FROM f) WHERE rank <= 3""")
 def rejection_guard(spark, sf):
-    items = _items(spark, sf).select(F.col("doc_id").alias("id"), "kind", "status", "priority", F.substring("text", 1, 40).alias("text"))
+    items = _items(spark, sf).select(F.col("doc_id").alias("id"), "kind", "status", "priority", _title(F.col("text")).alias("text"))
     prompts = _turns(spark, sf).where("role = 'user'").select(F.col("id").alias("query_id"), "session_id", F.col("created_at").alias("ts"), F.col("text").alias("query"))
     return retrieval.guard(items, prompts)
 
@@ -138,15 +146,14 @@ def redact_secrets(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", T.redact(F.col("text"), ['token = "[0-9a-f]{40}"', "[A-Za-z0-9.]+@[A-Za-z0-9.]+"]).alias("text"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(string_split(trim(text, chr(32)), chr(10))[1], '[ \t\r\f\v]+', ' ', 'g')) AS line FROM documents)
-SELECT doc_id, CASE WHEN length(line) <= 80 THEN line ELSE regexp_replace(CASE WHEN instr(substr(line, 1, 79), ' ') > 0 AND 79 - instr(reverse(substr(line, 1, 79)), ' ') >= 48 THEN substr(line, 1, 79 - instr(reverse(substr(line, 1, 79)), ' ')) ELSE substr(line, 1, 79) END, '[ ,;:\-]+$', '') || '…' END AS title FROM l""")
+@query(f"SELECT doc_id, {TITLE} FROM (SELECT doc_id, {FIRST_LINE} FROM documents)")
 def title_truncate(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", T.truncate(F.element_at(F.split(F.trim("text"), "\n"), 1), 80).alias("title"))
+    return S.table(spark, sf, "documents").select("doc_id", _title(F.col("text")).alias("title"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, regexp_matches(lower(url), '(^|/)(tests?|__tests__|spec|specs|e2e|testing)(/|$)') AS in_tests FROM pages WHERE url LIKE 'http%'")
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path, regexp_matches(lower(url), '(^|/)(tests?|__tests__|spec|specs|e2e|testing)(/|$)') AS in_tests FROM pages")
 def path_predicates(spark, sf):
-    pages = S.table(spark, sf, "pages").where(F.col("url").startswith("http"))
+    pages = S.table(spark, sf, "pages")
     return S.pages_files(pages).join(pages.select("page_id", F.lower("url").rlike(r"(^|/)(tests?|__tests__|spec|specs|e2e|testing)(/|$)").alias("in_tests")), "page_id")
 
 
@@ -179,19 +186,20 @@ def store_stats(spark, sf):
     return S.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").cast("long").alias("chars"), F.countDistinct("lang").alias("langs"))
 
 
-@query(f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'drop' ELSE 'done' END AS verb FROM documents WHERE doc_id % 5 = 0)
+@query(f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'drop' ELSE 'done' END AS verb FROM documents)
 SELECT id, kind, verb, CASE WHEN {LIVE} AND n IS NOT NULL THEN n ELSE status END AS status, CASE WHEN NOT {LIVE} THEN 'already closed' WHEN n IS NULL THEN 'not possible for this kind' END AS error FROM (
 SELECT r.id, kind, verb, status, CASE kind || ' ' || verb WHEN 'task done' THEN 'done' WHEN 'error done' THEN 'fixed' WHEN 'task drop' THEN 'dropped' WHEN 'error drop' THEN 'dropped' WHEN 'pin drop' THEN 'retired' WHEN 'note drop' THEN 'retired' WHEN 'decision drop' THEN 'retracted' WHEN 'handoff drop' THEN 'superseded' END n FROM r JOIN items ON doc_id = r.id)""")
 def close_items(spark, sf):
     items = _items(spark, sf).withColumnRenamed("doc_id", "id")
-    requests = S.table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "drop").otherwise("done").alias("verb"))
+    requests = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "drop").otherwise("done").alias("verb"))
     return lifecycle.close(items, requests, S.live())
 
 
-@query(f"""WITH {ITEMS} SELECT doc_id AS id, kind, CASE WHEN doc_id % 7 = 0 AND {LIVE} THEN CASE kind WHEN 'pin' THEN 'retired' WHEN 'decision' THEN 'retracted' WHEN 'task' THEN 'dropped' WHEN 'error' THEN 'dropped' WHEN 'note' THEN 'retired' ELSE 'superseded' END ELSE status END AS status, CASE WHEN doc_id % 7 = 0 THEN '[forgotten]' ELSE text END AS text FROM items""")
+@query(f"""WITH {ITEMS}, g AS (SELECT DISTINCT doc_id AS gone FROM labels WHERE toxic = 1) SELECT doc_id AS id, kind, CASE WHEN gone IS NOT NULL AND {LIVE} THEN CASE kind WHEN 'pin' THEN 'retired' WHEN 'decision' THEN 'retracted' WHEN 'task' THEN 'dropped' WHEN 'error' THEN 'dropped' WHEN 'note' THEN 'retired' ELSE 'superseded' END ELSE status END AS status, CASE WHEN gone IS NOT NULL THEN '[forgotten]' ELSE text END AS text FROM items LEFT JOIN g ON gone = doc_id""")
 def forget_items(spark, sf):
     items = _items(spark, sf).withColumnRenamed("doc_id", "id")
-    return lifecycle.forget(items, items.where("id % 7 = 0").select("id")).select("id", "kind", "status", "text")
+    gone = S.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    return lifecycle.forget(items, gone).select("id", "kind", "status", "text")
 
 
 @query(f"""WITH {ITEMS}, p AS (SELECT superseded_by r, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS replaces FROM items WHERE superseded_by IS NOT NULL GROUP BY 1)
@@ -222,11 +230,11 @@ def turn_dedupe(spark, sf):
     return lifecycle.dedupe_turns(turns.unionByName(turns), ["id"]).select("session_id", "role", "hash", "id")
 
 
-@query(f"""WITH {TURNS}, p AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) n FROM turns)
-SELECT c.id AS centre, o.id, o.n - c.n AS distance FROM p c JOIN p o USING (session_id) WHERE c.id % 3 = 0 AND abs(o.n - c.n) <= 2""")
+@query(f"""WITH {TURNS}, p AS (SELECT id, session_id, role, row_number() OVER (PARTITION BY session_id ORDER BY id) n FROM turns)
+SELECT c.id AS centre, o.id, o.n - c.n AS distance FROM p c JOIN p o USING (session_id) WHERE c.role = 'user' AND abs(o.n - c.n) <= 2""")
 def turn_neighbourhood(spark, sf):
     turns = _turns(spark, sf)
-    return lifecycle.neighbours(turns, turns.where("id % 3 = 0").select("id"), 2)
+    return lifecycle.neighbours(turns, turns.where("role = 'user'").select("id"), 2)
 
 
 LOGS = "logs AS (SELECT user_id AS id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || event_id, chr(10) ORDER BY ts, event_id) AS text FROM events GROUP BY user_id)"
@@ -333,7 +341,7 @@ def as_of_edges(spark, sf):
     return graph.as_of(edges, F.lit("1998-06-01").cast("timestamp_ntz")).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
-GRAPH = """e AS (SELECT DISTINCT n_regionkey + 0 AS src, n_nationkey + 100 AS dst FROM nation UNION SELECT c_nationkey + 100, c_custkey + 1000 FROM customer UNION SELECT c_custkey + 1000, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0),
+GRAPH = """e AS (SELECT DISTINCT n_regionkey + 0 AS src, n_nationkey + 100 AS dst FROM nation UNION SELECT c_nationkey + 100, c_custkey + 1000 FROM customer UNION SELECT c_custkey + 1000, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0),
 v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
 
 
@@ -341,7 +349,7 @@ def _graph(spark, sf):
     nation, customer = S.table(spark, sf, "nation"), S.table(spark, sf, "customer")
     e = nation.select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
     e = e.union(customer.select((F.col("c_nationkey") + 100).cast("long"), F.col("c_custkey") + 1000))
-    e = e.union(customer.where("c_custkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey") + 1000, F.col("n_regionkey").cast("long"))).distinct()
+    e = e.union(customer.where("c_acctbal < 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey") + 1000, F.col("n_regionkey").cast("long"))).distinct()
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e.withColumn("weight", F.lit(1.0))
 
 
@@ -358,10 +366,10 @@ def pagerank_fixed(spark, sf):
     return graph.pagerank(nodes, edges, 4).withColumn("rank", F.round("rank", 9))
 
 
-@query(_pagerank_sql("CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END", 3))
+@query(_pagerank_sql("CASE WHEN id < 100 THEN 1 ELSE 0 END", 3))
 def personalized_pagerank(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return graph.pagerank(nodes, edges, 3, nodes.where("id % 10 = 3").withColumn("p", F.lit(1.0))).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(nodes, edges, 3, nodes.where("id < 100").withColumn("p", F.lit(1.0))).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"WITH RECURSIVE {GRAPH}, b AS (SELECT 1105::BIGINT id, 0::BIGINT l UNION SELECT e.src, l + 1 FROM b JOIN e ON e.dst = b.id WHERE l < 3) SELECT id, min(l) AS level FROM b GROUP BY id")
