@@ -91,3 +91,11 @@ def python_facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([one(p, t) for p, t in zip(batch["path"], batch["text"], strict=True)], columns=["path", "lang", "symbols", "imports", "calls", "loc", "error"])
 
     return files.select("path", "text").mapInPandas(run, PYTHON_FACTS)
+
+
+def near(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Of the candidates (frm, path) the one that shares most leading folders, then the smallest path."""
+    a, b = F.split("frm", "/"), F.split("path", "/")
+    same = F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(1), F.size(b) - 1), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, e: F.struct((s["n"] + (s["on"] & e).cast("int")).alias("n"), (s["on"] & e).alias("on")))["n"]
+    return candidates.groupBy(*by).agg(F.min_by("path", F.struct(-shared, "path")).alias("path"))
