@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import budget, folding, graph, history, lifecycle, resolve, retrieval, routing
+from ..operators import budget, folding, graph, history, legacy, lifecycle, names, pack, reports, resolve, retrieval, routing
 from ..sources import tables as S
 from ..streaming import events as E
 
@@ -481,6 +481,125 @@ def eval_metrics(spark, sf):
     return routing.nearest_rank(S.table(spark, sf, "events"), "event_type", "value", 0.95)
 
 
+def _records(spark, sf):
+    return _items(spark, sf).withColumnRenamed("doc_id", "id").withColumn("title", T.derive_title(F.col("text")))
+
+
+NOW = "2024-01-10 00:00:00"
+
+
+@query()
+def session_pack(spark, sf):
+    """No SQL: an ordered scan that carries a text; tested against a plain scan."""
+    return pack.build(_records(spark, sf), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query()
+def pack_reach(spark, sf):
+    items = _records(spark, sf)
+    return pack.reach(pack.build(items, F.lit(NOW).cast("timestamp_ntz")), items)
+
+
+SQUEEZED = "lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))"
+
+
+@query(f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, source AS project, status <> 'superseded' AS accept, kind, kind || '|' || {SQUEEZED} AS k FROM items),
+h AS (SELECT DISTINCT 'src0' AS project, 'pin|' || {SQUEEZED} AS k FROM conversations), f AS (SELECT project, k, min(id) AS first FROM r WHERE accept GROUP BY ALL)
+SELECT r.id, r.project, r.kind, CASE WHEN NOT accept THEN 'skipped' WHEN h.k IS NOT NULL OR first <> r.id THEN 'duplicate' ELSE 'imported' END AS outcome FROM r LEFT JOIN f USING (project, k) LEFT JOIN h USING (project, k)""")
+def idempotent_import(spark, sf):
+    routes = _records(spark, sf).select("id", F.col("source").alias("project"), (F.col("status") != "superseded").alias("accept"), "kind", "text")
+    return legacy.apply_routes(routes, S.table(spark, sf, "conversations").select(F.lit("src0").alias("project"), F.lit("pin").alias("kind"), "text"))
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id AS id, source, CASE WHEN kind <> 'handoff' THEN status WHEN nx IS NULL THEN 'active' ELSE 'superseded' END AS status, nx AS replaced_by FROM (
+SELECT *, CASE WHEN kind = 'handoff' THEN lead(doc_id) OVER (PARTITION BY source, kind ORDER BY created_at, doc_id) END AS nx FROM items)""")
+def handoff_chain(spark, sf):
+    old = _records(spark, sf).select(F.col("id").alias("row"), "source", "kind", "status", "created_at", F.lit(0).alias("ord"))
+    return legacy.chain(old, "source").select(F.col("row").alias("id"), "source", "status", F.col("superseded_by").alias("replaced_by"))
+
+
+@query(f"""WITH {ITEMS}, t AS (SELECT kind, kind || '|' || {SQUEEZED} AS k, doc_id, lang, status FROM (SELECT items.*, lang FROM items JOIN documents USING (doc_id))), root AS (SELECT * FROM t WHERE lang = 'en'),
+n AS (SELECT kind, arg_min(status, doc_id) AS status FROM t WHERE lang <> 'en' AND kind <> 'handoff' AND k NOT IN (SELECT k FROM root) GROUP BY kind, k)
+SELECT kind, status, count(*) AS n FROM (SELECT kind, status FROM root UNION ALL SELECT kind, status FROM n UNION ALL SELECT kind, status FROM t WHERE lang <> 'en' AND kind = 'handoff') GROUP BY ALL""")
+def merge_stores(spark, sf):
+    """The English records as the root's store, the others as nested ones."""
+    langs = S.table(spark, sf, "documents").select("doc_id", "lang")
+    old = _items(spark, sf).join(langs, "doc_id").select("kind", "status", "text", F.lit("x").alias("origin"), "created_at", F.lit(None).cast("string").alias("session_id"), F.lit(0).alias("ord"), F.col("doc_id").alias("row"), "lang")
+    return legacy.tally(legacy.merge(old.where("lang = 'en'").drop("lang"), old.where("lang <> 'en'").drop("lang")))
+
+
+AGE = f"date_diff('second', created_at, TIMESTAMP '{NOW}')"
+
+
+@query(f"""WITH {ITEMS}, {TURNS}, i AS (SELECT *, {LIVE} AS live, {AGE} AS age FROM items), u AS (SELECT *, {AGE} AS age FROM turns),
+a AS (SELECT count(*) FILTER (kind = 'pin' AND status = 'active') AS pins, count(*) FILTER (kind = 'pin' AND status = 'active' AND priority) AS critical_pins FROM i)
+SELECT 'memory' AS part, 'pins' AS name, pins AS value FROM a UNION ALL SELECT 'memory', 'critical_pins', critical_pins FROM a
+UNION ALL SELECT 'memory', 'decisions', count(*) FROM i WHERE kind = 'decision' AND status = 'accepted' UNION ALL SELECT 'memory', 'rejected', count(*) FROM i WHERE kind = 'decision' AND status = 'rejected'
+UNION ALL SELECT 'memory', 'tasks_open', count(*) FROM i WHERE kind = 'task' AND status = 'open' UNION ALL SELECT 'memory', 'errors_open', count(*) FROM i WHERE kind = 'error' AND status = 'open'
+UNION ALL SELECT 'memory', 'notes', count(*) FROM i WHERE kind = 'note' AND status = 'active' UNION ALL SELECT 'memory', 'closed', count(*) FROM i WHERE NOT live AND kind <> 'handoff'
+UNION ALL SELECT 'week', 'added', count(*) FROM i WHERE age <= 604800 AND kind <> 'handoff' UNION ALL SELECT 'week', 'rejected', count(*) FROM i WHERE age <= 604800 AND kind = 'decision' AND status = 'rejected'
+UNION ALL SELECT 'week', 'turns', count(*) FROM u WHERE age <= 604800 UNION ALL SELECT 'week', 'prompts', count(*) FROM u WHERE age <= 604800 AND role = 'user'
+UNION ALL SELECT 'attention', 'stale_tasks', count(*) FROM i WHERE kind = 'task' AND status = 'open' AND age > 1814400 UNION ALL SELECT 'attention', 'old_errors', count(*) FROM i WHERE kind = 'error' AND status = 'open' AND age > 604800
+UNION ALL SELECT 'attention', 'no_critical_pins', CASE WHEN pins > 0 AND critical_pins = 0 THEN 1 ELSE 0 END FROM a""")
+def status_report(spark, sf):
+    return reports.status(_records(spark, sf), _turns(spark, sf), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"""WITH {ITEMS} SELECT 'records' AS panel, kind || ' ' || CASE WHEN {LIVE} THEN 'live' WHEN status = 'superseded' THEN 'superseded' ELSE 'closed' END AS label, count(*) AS value FROM items GROUP BY ALL
+UNION ALL SELECT 'turns', role || ' turns', count(*) FROM conversations GROUP BY role UNION ALL SELECT 'turns', role || ' characters', sum(length(text))::BIGINT FROM conversations GROUP BY role
+UNION ALL SELECT * FROM (SELECT 'languages', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY 3 DESC, 2 LIMIT 6)""")
+def dashboard(spark, sf):
+    return reports.dashboard(_records(spark, sf), _turns(spark, sf), S.table(spark, sf, "documents"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 400), c AS (SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem WHERE l_partkey IN (SELECT id FROM b))
+SELECT x.p AS src, y.p AS dst, 'together' AS kind, count(*) AS weight FROM c x JOIN c y ON x.o = y.o AND x.p < y.p GROUP BY ALL""")
+def graph_view_edges(spark, sf):
+    """Parts that stand in one order, among the 400 dearest parts; an order has few lines, so its pairs are few."""
+    return reports.graph_view(*_view(spark, sf))[1]
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, p_retailprice AS rank, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) k FROM part ORDER BY k LIMIT 400), c AS (SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem WHERE l_partkey IN (SELECT id FROM b)),
+e AS (SELECT x.p AS id FROM c x JOIN c y ON x.o = y.o AND x.p <> y.p) SELECT id, rank FROM b WHERE k <= 40 OR id IN (SELECT id FROM e)""")
+def graph_view_nodes(spark, sf):
+    return reports.graph_view(*_view(spark, sf))[0]
+
+
+def _view(spark, sf):
+    nodes = S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rank"))
+    lines = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    pairs = lines.withColumnRenamed("p", "src").join(lines.withColumnRenamed("p", "dst"), "o").where("src < dst")
+    return nodes, pairs.select("src", "dst", F.lit("together").alias("kind"))
+
+
+@query("""WITH s AS (SELECT p_brand AS path, p_partkey AS line, p_name || ' ' || p_type AS sig, p_retailprice AS rank FROM part), f AS (SELECT path, row_number() OVER (ORDER BY max(rank) DESC, path) AS pos FROM s GROUP BY path),
+k AS (SELECT s.*, pos, row_number() OVER (PARTITION BY path ORDER BY rank DESC, line) AS k FROM s JOIN f USING (path)),
+l AS (SELECT pos, path, line, '  ' || CASE WHEN length(sig) > 100 THEN substr(sig, 1, 99) || '…' ELSE sig END AS text FROM k WHERE k <= CASE WHEN pos <= 10 THEN 10 WHEN pos <= 50 THEN 6 ELSE 3 END UNION ALL SELECT pos, path, -1, path || ':' FROM f),
+r AS (SELECT *, sum(length(text) + 1) OVER (ORDER BY pos, line ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY path ORDER BY line) AS line_no FROM l) SELECT pos, path, line_no, text FROM r WHERE used <= 3584""")
+def repo_map(spark, sf):
+    """Brands as files, parts as their symbols."""
+    symbols = S.table(spark, sf, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").cast("string").alias("qualname"), F.concat_ws(" ", "p_name", "p_type").alias("sig"), F.col("p_partkey").cast("int").alias("line"), F.col("p_retailprice").alias("rank"))
+    return reports.repo_map(symbols.groupBy("path").agg(F.max("rank").alias("score")), symbols)
+
+
+@query(f"""WITH {ITEMS}, {TURNS} SELECT 'items:' || (SELECT count(*) FROM items) || ':' || (SELECT strftime(max(created_at), '%Y-%m-%d %H:%M:%S') FROM items) || '|turns:' || (SELECT count(*) FROM turns) || ':' || (SELECT strftime(max(created_at), '%Y-%m-%d %H:%M:%S') FROM turns) AS fingerprint""")
+def change_fingerprint(spark, sf):
+    return reports.fingerprint(items=(_records(spark, sf), "created_at"), turns=(_turns(spark, sf), "created_at"))
+
+
+@query("""WITH sy AS (SELECT 's' || s_suppkey % 7 AS path, s_name AS qualname, 'Supplier' || s_nationkey AS name FROM supplier), a AS (SELECT DISTINCT c_custkey AS id, 'Supplier' || c_nationkey AS name FROM customer),
+n AS (SELECT name, count(*) n FROM sy GROUP BY name HAVING count(*) <= 3) SELECT 'c' || id AS path, 'main' AS owner, name AS raw, sy.path AS to_path, qualname AS to_name, round(0.6::DOUBLE / n, 6) AS weight FROM a JOIN n USING (name) JOIN sy USING (name)""")
+def call_resolution(spark, sf):
+    """Customers call suppliers of their nation; a nation with more than three is no answer."""
+    supplier = S.table(spark, sf, "supplier")
+    symbols = supplier.select(F.concat(F.lit("s"), (F.col("s_suppkey") % 7).cast("string")).alias("path"), F.col("s_name").alias("qualname"), F.concat(F.lit("Supplier"), F.col("s_nationkey").cast("string")).alias("name"), F.lit("function").alias("kind"))
+    calls = S.table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.lit("main").alias("owner"), F.concat(F.lit("Supplier"), F.col("c_nationkey").cast("string")).alias("raw"))
+    none = symbols.where(F.lit(False))
+    bases = none.select("path", "qualname", F.col("name").alias("base"))
+    aliases = none.select("path", F.col("name").alias("alias"), F.col("path").alias("to_path"), F.col("name").alias("symbol"))
+    return names.calls(calls, symbols, bases, aliases).withColumn("weight", F.round("weight", 6))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
