@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .graph import cut
 
 FAN_OUT = 3
 # Kinds that a type name, a plain call and a call on an unknown receiver can mean.
@@ -137,10 +138,10 @@ def _pick(asked: DataFrame, meanings: DataFrame, imported: DataFrame, key: list[
     reach = imported.select("path", "to_path").distinct()
     if own:
         reach = reach.unionByName(asked.select("path", F.col("path").alias("to_path")).distinct()).distinct()
-    close = asked.select(*key, "path", "name").join(reach, "path").join(meanings, ["to_path", "name"]).select(*key, "to_path", "to_name")
-    close = close.join(close.groupBy(*key).agg(F.count("*").alias("n")), key).withColumn("near", F.lit(True))
+    close = asked.select(*dict.fromkeys([*key, "path", "name"])).join(reach, "path").join(meanings, ["to_path", "name"]).select(*key, "to_path", "to_name")
+    close = cut(close.withColumns({"n": F.count("*").over(Window.partitionBy(*key)), "near": F.lit(True)}))
     few = meanings.join(meanings.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= FAN_OUT), "name")
-    far = asked.select(*key, "name").join(few, "name").join(close.select(*key).distinct(), key, "left_anti").select(*key, "to_path", "to_name", "n").withColumn("near", F.lit(False))
+    far = asked.select(*key, "name").join(few, "name").join(close.select(*key).distinct(), key, "left_anti").select(*key, "to_path", "to_name", "n", F.lit(False).alias("near"))
     return close.unionByName(far)
 
 
@@ -198,9 +199,10 @@ def calls(asked: DataFrame, symbols: DataFrame, bases: DataFrame, aliases: DataF
     static = q.where(~said & (F.col("_n") == 2)).withColumnRenamed("name", "_last")
     on_type = static.join(types(static.select("path", F.col("alias").alias("raw")), symbols, aliases).select("path", F.col("raw").alias("alias"), "to_path", F.col("to_name").alias("_type")), ["path", "alias"]).withColumn("to_name", F.concat_ws(".", "_type", "_last")).join(known, ["to_path", "to_name"], "left_semi").select(*key, "to_path", "to_name", F.lit(30).alias("by"))
     exact = reduce(DataFrame.unionByName, [own, here, through, on_type]).groupBy(*key).agg(F.min(F.struct("by", "to_path", "to_name")).alias("_m")).select(*key, "_m.to_path", "_m.to_name", F.lit(1.0).alias("weight"))
+    exact = cut(exact)
 
     closed = bound.where(F.col("symbol").isNull() | (F.col("_n") == 1)).select(*key)
-    open_ = q.join(exact.select(*key), key, "left_anti").join(closed.distinct(), key, "left_anti")
+    open_ = cut(q.join(exact.select(*key), key, "left_anti").join(closed.distinct(), key, "left_anti"))
     plain = _pick(open_.where("_n = 1"), _by_name(symbols, CALLABLE), aliases, key, True)
     received = _pick(open_.where("_n > 1"), _by_name(symbols, RECEIVED), aliases, key, True)
     shared = plain.unionByName(received).where(F.col("n") <= FAN_OUT)
