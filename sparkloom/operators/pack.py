@@ -22,6 +22,7 @@ REJECTED, TASKS, ERRORS, RELATED, PINNED, DECISIONS = 10, 8, 5, 6, 12, 8
 STALE_DAYS, INDEX_SHARE = 21, 0.2
 #: Kept free for the line that counts what is not shown.
 MORE_ROOM = 20
+SALTS = 64
 FOOTER = "-- search <words> | show <id> | map"
 INDEX_TITLE = "## More"
 
@@ -33,6 +34,9 @@ def focus_score(text: Column, files: list[str]) -> Column:
 
 
 def _first(rows: DataFrame, by: list[str], most: int, *order: Column) -> DataFrame:
+    """The first rows of each group; those of ``SALTS`` parts of it first, so that no task sorts all of a large group."""
+    part = Window.partitionBy(*by, F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(*order)
+    rows = rows.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= most)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most)
 
 
