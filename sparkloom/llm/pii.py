@@ -7,8 +7,8 @@ far as the entity's information content is explained by the term:
 
     PMI(e; t) / IC(e) = ln(co * N / (df_e * df_t)) / ln(N / df_e)
 
-with N documents, df the documents that hold e or t, and co those where t stands
-within ``WINDOW`` characters of e.  Terms that reach ``THRESHOLD`` in at least
+with N different texts, df those that hold e or t, and co those where t stands
+within ``WINDOW`` characters of e; so copies of a document change nothing.  Terms that reach ``THRESHOLD`` in at least
 ``SUPPORT`` different contexts (exact copies of a context count once) are spans
 of kind ``term``; those that reach ``REMOVE`` are removed, others generalised.
 
@@ -139,13 +139,13 @@ def occurrences(found: DataFrame) -> DataFrame:
     return cut.select("_hash", "kind", "value", F.xxhash64("left", "right").alias("context"), F.concat(before, after).alias("terms"))
 
 
-def disclosing(docs: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that reveal an entity; ``docs`` has _text and _hash."""
+def disclosing(texts: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """(kind, value, term, disclosure) of the terms that reveal an entity; ``texts`` has _text and _hash, each text once."""
     entity = seen.groupBy("kind", "value").agg(F.countDistinct("_hash").alias("df_e"))
     words = seen.select("_hash", "kind", "value", "context", F.explode("terms.term").alias("term"))
     pairs = words.groupBy("kind", "value", "term").agg(F.countDistinct("_hash").alias("co"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    corpus = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    n = docs.agg(F.count("*").alias("n"))
+    corpus = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    n = texts.agg(F.count("*").alias("n"))
     joined = corpus.join(pairs, "term").join(entity, ["kind", "value"]).join(F.broadcast(n))  # n is one row
     information = F.log(F.col("n") / F.col("df_e"))
     score = F.when(information > 0, F.log(F.col("co") * F.col("n") / (F.col("df_e") * F.col("df_t"))) / information).otherwise(F.lit(0.0))
@@ -157,8 +157,9 @@ def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, thre
     ready = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     ready = ready.withColumn("_hash", F.xxhash64("_text"))
     found = base(ready)
-    seen = store(occurrences(base(ready.select("_hash", "_text"))), "occurrences")
-    known = disclosing(ready.select("_hash", "_text"), seen)
+    texts = store(ready.select("_hash", "_text").dropDuplicates(["_hash"]), "texts")
+    seen = store(occurrences(base(texts)), "occurrences")
+    known = disclosing(texts, seen, support, threshold)
     hit = seen.select("_hash", "kind", "value", F.explode("terms").alias("t")).select("_hash", "kind", "value", "t.*")
     flagged = hit.join(known, ["kind", "value", "term"]).groupBy("_hash", "start", "end").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))

@@ -211,6 +211,17 @@ def test_terms_that_disclose_an_entity_go(spark):
     assert all("Zanzibar" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6)) and clean[100] == dict(data)[100]
 
 
+def test_copies_do_not_change_terms(spark):
+    filler = ["the river runs through green valleys", "people walk along their streets", "some birds sing under trees"]
+    data = [(k, f"{filler[k]} and Zanzibar wrote from zed@host.org about {filler[k - 1]}") for k in range(3)]
+    data += [(100 + k, f"{filler[k % 3]} number {k} wrote about nothing from here") for k in range(60)]
+    once = {(r.doc_id, r.spans) for r in pii.report(pii.detect(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    copied = data + data[:3] * 30 + data[5:9] * 7
+    again = pii.report(pii.detect(spark.createDataFrame(copied, "doc_id long, text string"))).collect()
+    assert {(r.doc_id, r.spans) for r in again} == once and len(again) == len(copied)
+    assert all("term:" in s for i, s in once if i < 100)
+
+
 def test_ppm(docs, rows, spark):
     small = docs.where("length(text) < 2500 or text is null or doc_id > 9000 and length(text) < 6000").select("doc_id", "text")
     data = [(r.doc_id, r.text) for r in small.collect()]
