@@ -8,9 +8,12 @@ far as the entity's information content is explained by the term:
     PMI(e; t) / IC(e) = ln(co * N / (df_e * df_t)) / ln(N / df_e)
 
 with N different texts, df those that hold e or t, and co those where t stands
-within ``WINDOW`` characters of e; so copies of a document change nothing.  Terms that reach ``THRESHOLD`` in at least
-``SUPPORT`` different contexts (exact copies of a context count once) are spans
-of kind ``term``; those that reach ``REMOVE`` are removed, others generalised.
+within ``WINDOW`` characters of e; so copies of a document change nothing.  A term that reaches ``THRESHOLD`` counts with
+evidence: ``SUPPORT`` different contexts (exact copies of a context count once), or
+fewer, of an entity however rare, if chance would hardly put the two together:
+the bound (df_e * df_t / N) ** co on that is at most ``CHANCE``.  All occurrences of such a
+term, in any text, are spans of kind ``term``; terms that reach ``REMOVE`` for an
+entity are removed, others generalised.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans;
 positions are code points; an empty table gives an empty table; rows may repeat;
@@ -22,6 +25,7 @@ run of one character is read once; they match as the plain patterns do.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import store
 
 WINDOW, SUPPORT, THRESHOLD, REMOVE = 80, 3, 0.9, 0.99
+CHANCE = 0.001
 BASE = ("email", "ip", "card", "phone")
 _MAIL = r"[A-Za-z0-9._%+-]"
 #: A pattern for each kind, and a cheap test that any text with a match passes.
@@ -130,26 +135,45 @@ def occurrences(found: DataFrame) -> DataFrame:
     right = F.substring(F.col("_text"), high + 1, F.lit(WINDOW))
     cut = one.select("_hash", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), left.alias("left"), right.alias("right"), low.alias("low"), high.alias("high"), (high + WINDOW < F.length("_text")).alias("more"))
 
-    def terms(context: Column, at: Column, whole: Callable[[Column], Column]) -> Column:
-        inner = F.filter(spans(context, TERM), whole)
-        return F.transform(inner, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end")))
+    def terms(context: Column, whole: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(spans(context, TERM), whole), lambda t: F.lower(t["value"]))
 
-    before = terms(F.col("left"), F.col("low"), lambda t: (t["start"] > 0) | (F.col("low") == 0))  # a word that the window cuts is no term
-    after = terms(F.col("right"), F.col("high"), lambda t: (t["end"] < WINDOW) | ~F.col("more"))
-    return cut.select("_hash", "kind", "value", F.xxhash64("left", "right").alias("context"), F.concat(before, after).alias("terms"))
+    before = terms(F.col("left"), lambda t: (t["start"] > 0) | (F.col("low") == 0))  # a word that the window cuts is no term
+    after = terms(F.col("right"), lambda t: (t["end"] < WINDOW) | ~F.col("more"))
+    return cut.select("_hash", "kind", "value", F.xxhash64("left", "right").alias("context"), F.array_distinct(F.concat(before, after)).alias("terms"))
+
+
+def words_of(text_col: str) -> Column:
+    """The different terms of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosing(texts: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, value, term, disclosure) of the terms that reveal an entity; ``texts`` has _text and _hash, each text once."""
     entity = seen.groupBy("kind", "value").agg(F.countDistinct("_hash").alias("df_e"))
-    words = seen.select("_hash", "kind", "value", "context", F.explode("terms.term").alias("term"))
-    pairs = words.groupBy("kind", "value", "term").agg(F.countDistinct("_hash").alias("co"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    corpus = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    words = seen.select("_hash", "kind", "value", "context", F.explode("terms").alias("term"))
+    pairs = words.groupBy("kind", "value", "term").agg(F.countDistinct("_hash").alias("co"), F.countDistinct("context").alias("contexts"))
+    corpus = texts.select(F.explode(words_of("_text")).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = texts.agg(F.count("*").alias("n"))
     joined = corpus.join(pairs, "term").join(entity, ["kind", "value"]).join(F.broadcast(n))  # n is one row
     information = F.log(F.col("n") / F.col("df_e"))
     score = F.when(information > 0, F.log(F.col("co") * F.col("n") / (F.col("df_e") * F.col("df_t"))) / information).otherwise(F.lit(0.0))
-    return joined.select("kind", "value", "term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    chance = F.col("co") * F.log(F.col("df_e") * F.col("df_t") / F.col("n"))
+    evidence = (F.col("contexts") >= support) | (chance <= math.log(CHANCE) + 1e-9)
+    return joined.where(evidence).select("kind", "value", "term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= threshold)
+
+
+def flagged(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(_hash, _term): the spans of all occurrences of the terms in ``known`` (term, action), for the texts that hold one."""
+    held = texts.select("_hash", F.explode(words_of("_text")).alias("term")).join(known, "term")
+    # Merged at every size: texts that hold a term grow with the corpus.
+    held = store(held.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_known")), "held")  # at most the terms of one text
+
+    def placed(known: Column) -> Column:
+        at = F.transform(spans(F.col("_text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), known[F.lower(t["value"])].alias("value")))
+        return F.filter(at, lambda t: t["value"].isNotNull())
+
+    return texts.join(held.hint("merge"), "_hash").select("_hash", placed(F.col("_known")).alias("_term"))
 
 
 def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,10 +184,8 @@ def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, thre
     texts = store(ready.select("_hash", "_text").dropDuplicates(["_hash"]), "texts")
     seen = store(occurrences(base(texts)), "occurrences")
     known = disclosing(texts, seen, support, threshold)
-    hit = seen.select("_hash", "kind", "value", F.explode("terms").alias("t")).select("_hash", "kind", "value", "t.*")
-    flagged = hit.join(known, ["kind", "value", "term"]).groupBy("_hash", "start", "end").agg(F.max("disclosure").alias("d"))
-    action = F.when(F.col("d") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
-    by_text = flagged.groupBy("_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("value")))).alias("_term"))  # at most the terms of one text
+    action = F.when(F.max("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
+    by_text = store(flagged(texts, store(known.groupBy("term").agg(action.alias("action")), "terms")), "flagged")
     return found.join(by_text, "_hash", "left").withColumn("_term", F.coalesce("_term", F.array().cast(SPAN)))
 
 

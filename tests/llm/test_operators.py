@@ -222,6 +222,20 @@ def test_copies_do_not_change_terms(spark):
     assert all("term:" in s for i, s in once if i < 100)
 
 
+def test_terms_of_rarely_named_entities_go_everywhere(spark):
+    filler = ["the river runs through green valleys", "people walk along their streets", "some birds sing under trees"]
+    far = " ".join(filler * 3)
+    data = [(k, f"{filler[k % 3]} and nothing else {k}") for k in range(3000)]
+    data += [(5000, f"{filler[0]} Zanzibar owns +1 (555) 123-4567 and walks. {far}. ZANZIBAR again"), (5001, f"{far} zanzibar without a number"), (5002, "people at 10.0.0.1 walk")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.report(pii.detect(docs)).collect()}
+    for i, t in data:
+        terms = [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i].spans.split(",") if s) if k == "term"]
+        assert [w for w in terms if w.lower() == "zanzibar"] == re.findall("zanzibar", t, re.I), i
+        assert i >= 5000 or not terms
+    assert found[5000].n_term == 4 and found[5001].n_term == 1 and found[5002].n_term == 0  # owns and walks stand nowhere else
+
+
 def test_ppm(docs, rows, spark):
     small = docs.where("length(text) < 2500 or text is null or doc_id > 9000 and length(text) < 6000").select("doc_id", "text")
     data = [(r.doc_id, r.text) for r in small.collect()]
