@@ -127,33 +127,75 @@ def _all(*kinds: str) -> Column:
     return F.concat(*map(named, kinds))
 
 
+RUN = "struct<start:int,end:int,term:int,size:int,tag:string>"
+
+
+def merged(found: Column) -> Column:
+    """The unions of overlapping spans (start, end, term, tag); the tag is that of a base span before a term, then of the longest."""
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["term"].alias("term"), s["tag"].alias("tag"))))
+    runs = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["term"].alias("term"), (-s["back"] - s["start"]).alias("size"), s["tag"].alias("tag")).cast(RUN))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        better = (s["term"] < last["term"]) | ((s["term"] == last["term"]) & (s["size"] > last["size"]))
+        best = F.when(better, s).otherwise(last)
+        union = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), best["term"].alias("term"), best["size"].alias("size"), best["tag"].alias("tag")).cast(RUN)
+        return F.when(s["start"] < last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(union))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(runs, F.array().cast(f"array<{RUN}>"), step)
+
+
+def replaced(text: Column, runs: Column, by: Callable[[Column], Column]) -> Column:
+    """``text`` with ``by(run)`` in place of each run; the runs do not overlap."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))).alias("out"))
+
+    return F.aggregate(runs, begin, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _some(*kinds: str) -> Column:
+    return sum((F.size(f"_{k}") for k in kinds), F.lit(0)) > 0
+
+
+def prose(found: DataFrame) -> DataFrame:
+    """Add _plain: the text with blanks in place of base spans, where terms are looked for."""
+    runs = merged(F.transform(_all(*BASE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("term"), F.lit("").alias("tag"))))
+    blank = replaced(F.col("_text"), runs, lambda r: F.repeat(F.lit(" "), r["end"] - r["start"]))
+    return found.withColumn("_plain", F.when(_some(*BASE), blank))
+
+
 def occurrences(found: DataFrame) -> DataFrame:
     """A row for each base span: its document (by the hash of its text), its entity, its context, and the terms there."""
-    one = found.where(sum((F.size(f"_{k}") for k in BASE), F.lit(0)) > 0).select("_hash", "_text", F.explode(_all(*BASE)).alias("s"))
+    one = found.where(_some(*BASE)).select("_hash", "_text", "_plain", F.explode(_all(*BASE)).alias("s"))
     low, high = F.greatest(F.col("s.start") - WINDOW, F.lit(0)), F.col("s.end")
-    left = F.substring(F.col("_text"), low + 1, F.col("s.start") - low)
-    right = F.substring(F.col("_text"), high + 1, F.lit(WINDOW))
-    cut = one.select("_hash", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), left.alias("left"), right.alias("right"), low.alias("low"), high.alias("high"), (high + WINDOW < F.length("_text")).alias("more"))
+
+    def around(text_col: str) -> tuple[Column, Column]:
+        return F.substring(F.col(text_col), low + 1, F.col("s.start") - low), F.substring(F.col(text_col), high + 1, F.lit(WINDOW))
+
+    (left, right), (left_plain, right_plain) = around("_text"), around("_plain")
+    cut = one.select("_hash", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), F.xxhash64(left, right).alias("context"), left_plain.alias("left"), right_plain.alias("right"), low.alias("low"), high.alias("high"), (high + WINDOW < F.length("_text")).alias("more"))
 
     def terms(context: Column, whole: Callable[[Column], Column]) -> Column:
         return F.transform(F.filter(spans(context, TERM), whole), lambda t: F.lower(t["value"]))
 
     before = terms(F.col("left"), lambda t: (t["start"] > 0) | (F.col("low") == 0))  # a word that the window cuts is no term
     after = terms(F.col("right"), lambda t: (t["end"] < WINDOW) | ~F.col("more"))
-    return cut.select("_hash", "kind", "value", F.xxhash64("left", "right").alias("context"), F.array_distinct(F.concat(before, after)).alias("terms"))
+    return cut.select("_hash", "kind", "value", "context", F.array_distinct(F.concat(before, after)).alias("terms"))
 
 
-def words_of(text_col: str) -> Column:
+def words_of(text: Column) -> Column:
     """The different terms of a text, in small letters."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(TERM), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosing(texts: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that reveal an entity; ``texts`` has _text and _hash, each text once."""
+    """(kind, value, term, disclosure) of the terms that reveal an entity; ``texts`` has _text, _plain and _hash, each text once."""
     entity = seen.groupBy("kind", "value").agg(F.countDistinct("_hash").alias("df_e"))
     words = seen.select("_hash", "kind", "value", "context", F.explode("terms").alias("term"))
     pairs = words.groupBy("kind", "value", "term").agg(F.countDistinct("_hash").alias("co"), F.countDistinct("context").alias("contexts"))
-    corpus = texts.select(F.explode(words_of("_text")).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    corpus = texts.select(F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = texts.agg(F.count("*").alias("n"))
     joined = corpus.join(pairs, "term").join(entity, ["kind", "value"]).join(F.broadcast(n))  # n is one row
     information = F.log(F.col("n") / F.col("df_e"))
@@ -165,12 +207,12 @@ def disclosing(texts: DataFrame, seen: DataFrame, support: int = SUPPORT, thresh
 
 def flagged(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(_hash, _term): the spans of all occurrences of the terms in ``known`` (term, action), for the texts that hold one."""
-    held = texts.select("_hash", F.explode(words_of("_text")).alias("term")).join(known, "term")
+    held = texts.select("_hash", F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).join(known, "term")
     # Merged at every size: texts that hold a term grow with the corpus.
     held = store(held.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_known")), "held")  # at most the terms of one text
 
     def placed(known: Column) -> Column:
-        at = F.transform(spans(F.col("_text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), known[F.lower(t["value"])].alias("value")))
+        at = F.transform(spans(F.coalesce("_plain", "_text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), known[F.lower(t["value"])].alias("value")))
         return F.filter(at, lambda t: t["value"].isNotNull())
 
     return texts.join(held.hint("merge"), "_hash").select("_hash", placed(F.col("_known")).alias("_term"))
@@ -181,8 +223,8 @@ def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, thre
     ready = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     ready = ready.withColumn("_hash", F.xxhash64("_text"))
     found = base(ready)
-    texts = store(ready.select("_hash", "_text").dropDuplicates(["_hash"]), "texts")
-    seen = store(occurrences(base(texts)), "occurrences")
+    texts = store(prose(base(ready.select("_hash", "_text").dropDuplicates(["_hash"]))), "texts")
+    seen = store(occurrences(texts), "occurrences")
     known = disclosing(texts, seen, support, threshold)
     action = F.when(F.max("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
     by_text = store(flagged(texts, store(known.groupBy("term").agg(action.alias("action")), "terms")), "flagged")
@@ -207,19 +249,14 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base spans and disclosing terms replaced by what kind they are; of overlapping spans the first stays."""
+    """``docs`` with base spans and disclosing terms replaced by what kind they are; of overlapping spans all goes, under one name."""
     names = docs.columns
     found = detect(docs, text_col)
-    all_spans = F.array_sort(F.transform(_all(*BASE, "term"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("tag"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        text = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(text, s["tag"])).alias("out"))).otherwise(acc)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.concat_ws("", acc["out"]), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
+    def tagged(s: Column) -> Column:
+        tag = F.when(s["value"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["kind"] == "term").cast("int").alias("term"), tag.alias("tag"))
 
-    some = sum((F.size(f"_{k}") for k in (*BASE, "term")), F.lit(0)) > 0
-    clean = F.when(some, F.aggregate(all_spans, begin, step, finish)).otherwise(F.col(text_col))
+    clean = replaced(F.col("_text"), merged(F.transform(_all(*BASE, "term"), tagged)), lambda r: r["tag"])
+    clean = F.when(_some(*BASE, "term"), clean).otherwise(F.col(text_col))
     return found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in names])

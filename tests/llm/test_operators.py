@@ -236,6 +236,20 @@ def test_terms_of_rarely_named_entities_go_everywhere(spark):
     assert found[5000].n_term == 4 and found[5001].n_term == 1 and found[5002].n_term == 0  # owns and walks stand nowhere else
 
 
+def test_overlapping_spans_go_whole(spark):
+    cases = {
+        "+491234567@host.com now": "[EMAIL] now", "a 4111-1111-1111-1111@x.com": "a [EMAIL]", "10.0.0.1joe@x.com": "[EMAIL]", "+1 555 123 4567-joe@x.com b": "[PHONE] b",
+        "x@y.com 10.0.0.1": "[EMAIL] [IP]",
+    }
+    filler = ["the river runs through green valleys", "people walk along their streets", "some birds sing under trees"]
+    data = [*enumerate(cases), *((10 + k, f"{filler[k]} Footer, alice@x.com or +1 (555) 123-4567 {filler[k - 1]}") for k in range(3))]
+    data += [(100 + k, f"{filler[k % 3]} number {k} about nothing") for k in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [clean[k] for k in range(len(cases))] == list(cases.values())
+    for k in range(3):
+        assert "[EMAIL] or [PHONE]" in clean[10 + k] and "x.com" not in clean[10 + k] and "Footer" not in clean[10 + k]
+
+
 def test_ppm(docs, rows, spark):
     small = docs.where("length(text) < 2500 or text is null or doc_id > 9000 and length(text) < 6000").select("doc_id", "text")
     data = [(r.doc_id, r.text) for r in small.collect()]
