@@ -333,6 +333,17 @@ def test_empty_tables(docs, spark):
         assert df.count() == 0
 
 
+def test_rows_without_an_id_of_their_own_go_only_as_copies(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(60)) for w in ("lamp", "tree", "ship", "bird"))
+    data = [(5, one), (None, one), (None, two), (None, three), (None, three + " end"), (7, four), (7, one + " end"), (7, four), (3, one)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(kept, key=str)[:2] == [(3, one), (7, four)] and (None, two) in kept
+    assert len(kept) == 4 and len({(None, three), (None, three + " end")} & set(kept)) == 1
+
+
 def test_pipeline_stages_keep_columns_and_rows(docs, spark, rows):
     import corpus_pipeline
 
