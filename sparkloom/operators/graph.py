@@ -6,6 +6,7 @@ edges, and its result is written where a lost executor can read it again.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -51,8 +52,8 @@ def as_of(edges: DataFrame, ts) -> DataFrame:
     return edges.where((F.col("valid_from") <= ts) & (F.col("valid_to").isNull() | (F.col("valid_to") > ts)))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, personal: DataFrame | None = None, d: float = 0.85) -> DataFrame:
-    """(id, rank) after ``rounds`` steps; the mass of nodes without edges goes back by the teleport weights."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, personal: DataFrame | None = None, d: float = 0.85, tol: float = 1e-8) -> DataFrame:
+    """(id, rank) when a step moves less than ``tol`` in sum, or after just ``rounds`` steps if given; the mass of nodes without edges goes back by the teleport weights."""
     ids = nodes.select("id").distinct()
     weight = ids.withColumn("p", F.lit(1.0)) if personal is None else ids.join(personal.select("id", "p"), "id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     total = weight.agg(F.sum("p"), F.count("*")).first()
@@ -64,16 +65,32 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, personal: DataFram
     share = cut(used.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     p = cut(p.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left"))
     rank = p.select("id", F.col("p").alias("rank"))
-    for k in range(rounds):
+    for k in itertools.count():  # each step shrinks the distance by d
+        if k == rounds:
+            break
+        before = rank
         lost = p.where("linked is null").join(rank, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = share.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = p.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
         rank = new.select("id", ((1 - d) * F.col("p") + d * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))
         if k % 3 == 2:
             rank = cut(rank)
+            if rounds is None and rank.join(before.withColumnRenamed("rank", "was"), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0))).first()[0] < tol:
+                break
     return rank
 
 
+def focused_rank(nodes: DataFrame, edges: DataFrame, focus: DataFrame, tol: float = 1e-8) -> DataFrame:
+    """0.75 of the rank personalised to ``focus`` (id, p) and 0.25 of the global rank, each over its maximum."""
+
+    def scaled(rank: DataFrame, name: str) -> DataFrame:
+        most = rank.agg(F.max("rank").alias("most"))  # one row
+        return rank.crossJoin(F.broadcast(most)).select("id", F.coalesce(F.try_divide("rank", "most"), F.lit(0.0)).alias(name))
+
+    own, every = (scaled(pagerank(nodes, edges, personal=p, tol=tol), name) for p, name in ((focus, "own"), (None, "every")))
+    return own.join(every, "id").select("id", (0.75 * F.col("own") + 0.25 * F.col("every")).alias("rank"))
+
+
 def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, level) of what is reached over src -> dst within ``depth`` steps, the first level counts."""
     seen = start.select("id").distinct().withColumn("level", F.lit(0).cast("long"))
@@ -96,14 +113,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def shortest_path(edges: DataFrame, a, b, most: int = 20) -> list:
-    """A shortest undirected path, of equal ones that over the smallest ids; empty if there is none."""
+def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> list:
+    """A shortest undirected path, of equal ones that over the smallest ids; empty if there is none (with ``most``: none of so many steps)."""
     spark = edges.sparkSession
     both = undirected(edges)
     kind = both.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(a, None)], f"id {kind}, before {kind}")
     front = seen
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         if not seen.where(F.col("id") == F.lit(b)).isEmpty():
             break
         step = front.join(both, front["id"] == both["src"]).groupBy("dst").agg(F.min("src").alias("before")).withColumnRenamed("dst", "id")
@@ -112,7 +129,7 @@ def shortest_path(edges: DataFrame, a, b, most: int = 20) -> list:
             return []
         seen = cut(seen.unionByName(front))
     path, at = [], b
-    while at is not None:  # at most ``most`` rows are looked up
+    while at is not None:  # a row for each step is looked up
         row = seen.where(F.col("id") == F.lit(at)).first()
         if row is None:
             return []
@@ -121,18 +138,22 @@ def shortest_path(edges: DataFrame, a, b, most: int = 20) -> list:
     return path[::-1]
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """G7-G9 by weighted label propagation: a node takes the label of the greatest weight around it if that is smaller than its own.
 
     The sequential local-move method depends on an order of all nodes; this one
-    is the same in any order and needs a join and two aggregates a round.
+    is the same in any order and needs a join and two aggregates a round.  Labels
+    only fall, so it ends; ``rounds`` stops it before no label moves.
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     both = cut(both)
     label = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         own = label.select(F.col("id").alias("src"), "label", F.lit(1e-6).alias("w"))
         best = votes.unionByName(own).groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("best"))
-        label = cut(label.join(best.withColumnRenamed("src", "id"), "id").select("id", F.least("label", "best").alias("label")))
+        new = cut(label.join(best.withColumnRenamed("src", "id"), "id").select("id", F.least("label", "best").alias("label"), (F.col("best") < F.col("label")).alias("moved")))
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
     return label

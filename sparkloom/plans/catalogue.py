@@ -394,7 +394,7 @@ def shortest_path_len(spark, sf):
 @query()
 def communities(spark, sf):
     _, files = S.commits(S.table(spark, sf, "orders"), S.table(spark, sf, "lineitem"))
-    return graph.communities(history.co_change(files, 0.05).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight")), 5)
+    return graph.communities(history.co_change(files, 0.05).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("score").alias("weight")))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
