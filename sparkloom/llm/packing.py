@@ -6,24 +6,28 @@ that histogram: around the largest length left it enumerates fillings of the
 rest of a bin by increasing waste, skips those that another one dominates, and
 applies each as often as the counts allow.  The first descent (always the
 fullest bin, larger pieces first: best fit) gives the incumbent; the search
-stops when the incumbent meets the lower bound, prunes branches whose waste
-cannot beat it, and keeps the incumbent when ``node_budget`` is spent.
-
-Pieces then find their place by rank: the r-th piece of a length goes to the
-r-th slot of that length.  Ranks come from counts by (length, bucket), so no
-length, however common, meets in one task.
-
-Defined results: a null or empty text is its end token alone; documents with
-equal ids are packed one by one; an empty table gives an empty table; other
-columns do not matter.
+stops when the incumbent meets the lower bound and prunes branches whose waste
+cannot beat it.  ``node_budget``, ``width`` (fillings tried at a node) and
+``tries`` (steps to enumerate them) bound the search, never the result: every
+piece is packed.  With None for all three the search is exhaustive.
+
+Full pieces are a sequence each.  The others find their place by rank: the r-th
+piece of a length goes to the r-th slot of that length.  Ranks come from counts
+by (length, bucket), with buckets of about ``PER_BUCKET`` rows, so no length,
+however common, meets in one task.
+
+Ids are those of the tokenizers library, word by word (``words``).
+
+Defined results: a null or empty text is its end token alone; texts of any
+length, of one character throughout too, are encoded whole; documents with equal
+ids or texts are packed one by one; an empty table gives an empty table; other
+columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,29 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, store, texts
+from .words import words_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
-@lru_cache(maxsize=2)
-def _encoder(ranks_path: str):
-    import tiktoken
-    from public_tokenizers import PATTERN
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def encode(text: str, ranks_path: str, special: str, special_id: int) -> np.ndarray:
-    """Ids of the byte-level vocabulary; ``special`` inside the text is one token, as in the JSON form of the vocabulary."""
-    enc = _encoder(ranks_path)
-    parts = text.split(special)
-    ids = list(enc.encode_ordinary(parts[0]))
-    for part in parts[1:]:
-        ids.append(special_id)
-        ids.extend(enc.encode_ordinary(part))
-    return np.array(ids, dtype="<u4")
+PER_BUCKET = 100_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -62,24 +47,38 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, ranks_path: str, capacity: int = 1024, end_id: int = 2, special: str = "<|endoftext|>", special_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per piece, with its ids when ``keep_ids``."""
+def _batches(part: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of some rows at a time, of about ``size`` bytes."""
+    docs, held, total = [], [], 0
+    for doc, raw in zip(part.column(0), part.column(1), strict=True):
+        docs.append(doc.as_py())
+        held.append(raw.as_py().decode("utf-8", "replace"))
+        total += len(held[-1])
+        if total >= size or len(held) >= 1024:
+            yield docs, held
+            docs, held, total = [], [], 0
+    if held:
+        yield docs, held
+
+
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per piece, with its ids when ``keep_ids``; ``vocabulary`` is a JSON file of the tokenizers library."""
     out = PIECES + (", ids array<int>" if keep_ids else "")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = words_of(vocabulary)
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for own_docs, own_texts in _batches(batch):
                 rows: list[tuple] = []
-                part = batch.slice(at, 1024)
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(encode(raw.decode("utf-8", "replace"), ranks_path, special, special_id), np.uint32(end_id)).astype("<u4")
+                for doc, ids in zip(own_docs, encoder.encode(own_texts), strict=True):
+                    ids = np.concatenate((np.frombuffer(ids, dtype="<u4"), end))
                     for k, (s, n) in enumerate(cut(len(ids), capacity)):
                         own = ids[s : s + n]
                         rows.append((doc, k, s, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5]
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[i]) for i, c in enumerate(columns)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[i]) for i, c in enumerate(zip(*rows, strict=True))], names=names)
 
     return texts(docs, id_col, text_col).mapInArrow(run, out)
 
@@ -111,8 +110,8 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], rest: int, width: int, tries: int = 4000) -> list[tuple[int, ...]]:
-    """Up to ``width`` undominated fillings of ``rest``, by increasing waste, larger pieces first."""
+def fillings(counts: dict[int, int], rest: int, width: int | None, tries: int | None = 4000) -> list[tuple[int, ...]]:
+    """Up to ``width`` undominated fillings of ``rest`` (None: all), by increasing waste, larger pieces first."""
     sizes = sorted((s for s, c in counts.items() if c > 0 and s <= rest), reverse=True)
     if not sizes:
         return [()]
@@ -132,9 +131,13 @@ def fillings(counts: dict[int, int], rest: int, width: int, tries: int = 4000) -
     out: list[tuple[int, ...]] = []
     left = [tries]
 
+    def over() -> bool:
+        return width is not None and len(out) >= width or left[0] is not None and left[0] < 0
+
     def walk(i: int, need: int, chosen: list[int]) -> None:
-        left[0] -= 1
-        if len(out) >= width or left[0] < 0:
+        if left[0] is not None:
+            left[0] -= 1
+        if over():
             return
         if need == 0:
             found = tuple(chosen)
@@ -152,7 +155,7 @@ def fillings(counts: dict[int, int], rest: int, width: int, tries: int = 4000) -
     for need in range(rest, 0, -1):
         if reach[0] >> need & 1:
             walk(0, need, [])
-            if len(out) >= width or left[0] < 0:
+            if over():
                 break
     return out or [(sizes[0],)]
 
@@ -160,8 +163,17 @@ def fillings(counts: dict[int, int], rest: int, width: int, tries: int = 4000) -
 Pattern = tuple[tuple[int, ...], int]
 
 
-def plan(counts: dict[int, int], capacity: int, node_budget: int = 3000, width: int = 3) -> list[Pattern]:
-    """(lengths of a bin, times) so that every piece has a slot, in as few bins as the search finds."""
+def _times(filling: tuple[int, ...], counts: dict[int, int]) -> int:
+    """How often the counts allow a filling."""
+    return min(counts[x] // filling.count(x) for x in set(filling))
+
+
+def plan(counts: dict[int, int], capacity: int, node_budget: int | None = 3000, width: int | None = 3, tries: int | None = 4000) -> list[Pattern]:
+    """(lengths of a bin, times) so that every piece has a slot, in as few bins as the search finds.
+
+    A filling is applied as often as the counts allow; an exhaustive search
+    (``node_budget``, ``width`` and ``tries`` None) also tries it once only.
+    """
     counts = {int(k): int(v) for k, v in counts.items() if v > 0}
     bound = lower_bound(counts, capacity)
     total = sum(k * v for k, v in counts.items())
@@ -170,34 +182,36 @@ def plan(counts: dict[int, int], capacity: int, node_budget: int = 3000, width:
     nodes = 0
     # An explicit stack of (fillings not tried yet, counts before, bins before): the depth may pass Python's limit.
     done: list[Pattern] = []
-    stack: list[tuple[list[tuple[int, ...]], dict[int, int], int, int]] = []
+    stack: list[tuple[list[tuple[tuple[int, ...], bool]], dict[int, int], int, int]] = []
     left, bins = dict(counts), 0
+    exhaustive = node_budget is None and width is None and tries is None
+
+    def spent() -> bool:
+        return node_budget is not None and nodes > node_budget
 
-    def options(now: dict[int, int]) -> list[tuple[int, ...]]:
+    def options(now: dict[int, int]) -> list[tuple[tuple[int, ...], bool]]:
         top = max(now)
         rest = dict(now)
         rest[top] -= 1
-        return [(top, *f) for f in fillings(rest, capacity - top, 1 if nodes > node_budget else width)][::-1]
+        found = [(top, *f) for f in fillings(rest, capacity - top, 1 if spent() else width, tries)]
+        often = [f for f in found if _times(f, now) > 1] if exhaustive else []
+        return [*((f, True) for f in often[::-1]), *((f, False) for f in found[::-1])]
 
     if left:
         stack.append((options(left), left, 0, total))
     while stack:
         todo, left, bins, mass = stack[-1]
         del done[len(stack) - 1 :]
-        if not todo or (best_bins >= 0 and (nodes > node_budget or best_bins == bound)):
+        if not todo or (best_bins >= 0 and (spent() or best_bins == bound)):
             stack.pop()
             continue
-        chosen = todo.pop()
+        chosen, once = todo.pop()
         nodes += 1
-        use: dict[int, int] = {}
-        for x in chosen:
-            use[x] = use.get(x, 0) + 1
-        times = min(left[x] // k for x, k in use.items())
+        times = 1 if once else _times(chosen, left)
         now = dict(left)
-        for x, k in use.items():
-            now[x] -= k * times
-            if not now[x]:
-                del now[x]
+        for x in chosen:
+            now[x] -= times
+        now = {x: c for x, c in now.items() if c}
         done.append((chosen, times))
         mass -= sum(chosen) * times
         bins += times
@@ -226,21 +240,27 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
-def place(parts: DataFrame, capacity: int = 1024, node_budget: int = 3000) -> DataFrame:
-    """Add sequence_id and offset to rows with a length of 1 to ``capacity``. ``parts`` must be stored, as it is read twice."""
+def place(parts: DataFrame, capacity: int = 1024, node_budget: int | None = 3000, width: int | None = 3, tries: int | None = 4000) -> DataFrame:
+    """Add sequence_id and offset to rows with a length of 1 to ``capacity``. ``parts`` must be stored, as it is read twice.
+
+    A full piece needs no rank: its sequence_id is negative and comes from its place in the stored table.
+    """
+    from pyspark.sql.types import LongType, StructType
+
     spark = parts.sparkSession
-    buckets = max(64, partitions(spark))
+    names = parts.columns
+    whole = parts.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    parts = parts.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    buckets = max(partitions(spark), sum(histogram.values()) // PER_BUCKET)
     dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
     counted = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    where = slots(plan(histogram, capacity, node_budget))
+    where = slots(plan(histogram, capacity, node_budget, width, tries))
     before = counted.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in parts.columns]
+    order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*order))).join(before, ["length", "_bucket"])
-    at = ranked.select(*parts.columns, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    names = parts.columns
+    at = ranked.select(*names, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
     sent = spark.sparkContext.broadcast(where)  # at most `capacity` slots a pattern and a pattern for each length that runs out
-    keep = at.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,15 +274,14 @@ def place(parts: DataFrame, capacity: int = 1024, node_budget: int = 3000) -> Da
                 sequence[own], offset[own] = row[:, 1] + rank[own] - row[:, 0], row[:, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([f for f in keep.fields if f.name != "_rank"]).add("sequence_id", LongType()).add("offset", LongType())
-    return at.mapInArrow(run, schema)
+    schema = StructType([f for f in at.schema.fields if f.name != "_rank"]).add("sequence_id", LongType()).add("offset", LongType())
+    return whole.unionByName(at.mapInArrow(run, schema))
 
 
-def pack(docs: DataFrame, ranks_path: str, capacity: int = 1024, end_id: int = 2, node_budget: int = 3000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, node_budget: int | None = 3000, width: int | None = 3, tries: int | None = 4000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and their offset in it."""
-    return place(store(pieces(docs, ranks_path, capacity, end_id, id_col=id_col, text_col=text_col, keep_ids=keep_ids), "pieces"), capacity, node_budget)
+    parts = store(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep_ids), "pieces")
+    return place(parts, capacity, node_budget, width, tries)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

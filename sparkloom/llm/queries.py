@@ -28,7 +28,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token counts by overlap resynchronisation.
 
-A text of at most ``chunk_chars`` characters is encoded at once.  A longer one
-is encoded in overlapping chunks with offsets.  Two neighbours are spliced at a
+A text of at most ``chunk_chars`` characters is encoded at once, word by word
+(``words``).  A longer one is encoded in overlapping chunks with offsets.  Two neighbours are spliced at a
 white-space character of their overlap before which both have the same token
 ends since the white space before it.  No token of a word tokenizer spans white
 space and its rules never look back, so all tokens after such a place are the
@@ -15,31 +15,19 @@ empty table.
 
 from __future__ import annotations
 
-import os
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
+from .words import load, words_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _SPACE = " \t\n\r"
 
 
-@lru_cache(maxsize=4)
-def load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
-
-
 def _boundaries(text: str, lo: int, hi: int) -> list[int]:
     """White space in (lo, hi) with a visible character before it and no combining mark after it."""
     return [p for p in range(lo + 1, hi - 1) if text[p] in _SPACE and text[p - 1] not in _SPACE and not unicodedata.combining(text[p + 1])]
@@ -86,7 +74,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
     """One row per document: its UTF-8 bytes, its tokens, and whether they exceed ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(tokenizer_path)
+        tok, words = load(tokenizer_path), words_of(tokenizer_path)
         for batch in batches:
             raw = batch.column(1).to_pylist()
             ids = batch.column(0)
@@ -100,8 +88,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
                         known[x] = count_long(tok, text, chunk_chars, overlap)
                     else:
                         short.append((x, text))
-                for (x, _), enc in zip(short, tok.encode_batch_fast([t for _, t in short], add_special_tokens=False), strict=True):
-                    known[x] = len(enc)
+                for (x, _), found in zip(short, words.encode([t for _, t in short]), strict=True):
+                    known[x] = len(found) // 4
                 n = [known[x] for x in part]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(part)).cast(pa.int64()), pa.array(map(len, part), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

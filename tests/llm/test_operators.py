@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, language, media, minhash, packing, pii, ppm, queries, repeats, token_counts, warc
+from sparkloom.llm import decontaminate, language, media, minhash, packing, pii, ppm, queries, repeats, token_counts, warc, words
 
 DATA = "/root/testdata/sf0.001"
 BASE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega. "
@@ -39,8 +39,8 @@ def digest(rows):
 
 
 def test_packing(docs, rows):
-    tok = token_counts.load(queries.tokenizer("byte_bpe_50k.json"))
-    found = packing.pack(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), keep_ids=True).collect()
+    tok = words.load(queries.tokenizer("byte_bpe_50k.json"))
+    found = packing.pack(docs, queries.tokenizer("byte_bpe_50k.json"), keep_ids=True).collect()
     expected = collections.Counter()
     for i, t, _ in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -62,7 +62,7 @@ def test_packing(docs, rows):
 
 
 def test_token_counts(docs, rows):
-    tok = token_counts.load(queries.tokenizer("word_bpe_49k.json"))
+    tok = words.load(queries.tokenizer("word_bpe_49k.json"))
     found = token_counts.count_tokens(docs, queries.tokenizer("word_bpe_49k.json"), chunk_chars=3000, overlap=200).collect()
     expected = [(i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows]
     assert digest(tuple(r) for r in found) == digest((*x, x[2] > 2048) for x in expected)
@@ -324,7 +324,7 @@ def test_warc(spark):
 
 def test_empty_tables(docs, spark):
     none = docs.where("false")
-    ranks, words = queries.tokenizer("byte_bpe_50k.tiktoken"), queries.tokenizer("word_bpe_49k.json")
+    ranks, words = queries.tokenizer("byte_bpe_50k.json"), queries.tokenizer("word_bpe_49k.json")
     for df in (
         packing.pack(none, ranks), token_counts.count_tokens(none, words), media.digests(media.media(none)), language.identify(none, language.learn(none, F.lit(True))),
         minhash.near_duplicates(none), repeats.remove_repeats(none), pii.report(pii.detect(none)), pii.sanitise(none), ppm.score(none, F.lit(True)),

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm import decontaminate, language, media, packing, suffix, token_counts, warc
+from sparkloom.llm import decontaminate, language, media, packing, suffix, token_counts, warc, words
 from sparkloom.llm.queries import tokenizer
 
 
@@ -108,17 +108,48 @@ def test_pieces_are_full_but_the_first():
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
 
 
-def test_ids_are_those_of_the_json_vocabulary():
-    tok = token_counts.load(tokenizer("byte_bpe_50k.json"))
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_by_word_are_those_of_whole_texts(name, monkeypatch):
+    tok, own = words.load(tokenizer(name)), words.Words(tokenizer(name))
     rand = random.Random(2)
-    letters = " \t\n\r\x0b\x85\xa0　ab'sStdveé1２٣!?-🎉́\x00"
-    for _ in range(500):
-        text = "".join(rand.choice(letters) for _ in range(rand.randint(0, 40))) + rand.choice(["", "<|endoftext|>", "<|endoftext|> a"])
-        assert packing.encode(text, tokenizer("byte_bpe_50k.tiktoken"), "<|endoftext|>", 50256).tolist() == tok.encode(text, add_special_tokens=False).ids
+    bits = [*" \t\n\r\x0b\x85\xa0　ab'sStdveé1２٣!?-🎉́\x00\x1c|", "don't", "It's", "ÉTÉ", "ß", "ÿ", "Ÿ", "º", "²", "×", "12", "x1y,z", "<|endoftext|>", "<|startoftext|>", "...", "İ", "end.\nNext"]
+
+    def ids(texts):
+        return [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+
+    for k in range(60):
+        if k == 40:
+            monkeypatch.setattr(words, "KNOWN", 50)  # the table overflows
+        texts = ["".join(rand.choice(bits) + rand.choice(["", "", " "]) for _ in range(rand.randint(0, 25))) for _ in range(30)]
+        assert ids(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for text in (" " * 1_000_000, "x" * 1_000_000, "a b " * 100_000, "\n" * 300_000):
+        assert ids([text]) == [tok.encode(text, add_special_tokens=False).ids]
+
+
+def test_an_exhaustive_search_finds_the_fewest_bins():
+    rand = random.Random(8)
+    for _ in range(25):
+        sizes = [rand.randint(1, 12) for _ in range(rand.randint(1, 9))]
+        best = len(sizes)
+
+        def fill(at, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if at == len(sizes):
+                best = len(bins)
+                return
+            for k in {r: k for k, r in enumerate(bins) if r >= sizes[at]}.values():
+                fill(at + 1, [*bins[:k], bins[k] - sizes[at], *bins[k + 1 :]])
+            fill(at + 1, [*bins, 12 - sizes[at]])
+
+        fill(0, [])
+        counts = {x: sizes.count(x) for x in sizes}
+        assert sum(t for _, t in packing.plan(counts, 12, None, None, None)) == best
 
 
 def test_spliced_counts_equal_whole_counts():
-    tok = token_counts.load(tokenizer("word_bpe_49k.json"))
+    tok = words.load(tokenizer("word_bpe_49k.json"))
     rand = random.Random(2)
     letters = "    \t\nab'sStdveé1٣!?-🎉́abcdefgh"
     for _ in range(150):
