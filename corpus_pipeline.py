@@ -7,13 +7,11 @@ it kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, minhash, packing, pii
-from sparkloom.llm.common import read, shared_dir, store
+from sparkloom.llm.common import read, store
 from sparkloom.llm.queries import id_crc, tokenizer
 
 
@@ -54,7 +52,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language_id), ("near_duplicates", near_duplicates), ("decontaminate", benchmark_free), ("pii", sanitised), ("packing", packed)]
@@ -63,13 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written to the shared folder and read again."""
+    """All stages; each result is written to the shared folder, read again, and deleted with the other stored tables."""
     docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/sparkloom-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
