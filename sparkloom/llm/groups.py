@@ -76,6 +76,26 @@ def map_all_groups(df: DataFrame, keys: list[str], fn: Callable[[Iterator[Group]
     return ordered.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+HOT_SHARE = 2000
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row a key and the column ``rows``: how many rows of ``many`` have that key.
+
+    Keys with at least 1 / ``HOT_SHARE`` of all rows are ``HOT_SHARE`` at most;
+    they are broadcast, so no task gets more than that share of one key.
+    """
+    one = store(one, "one")
+    total = one.agg(F.sum("rows")).first()[0] or 0
+    bound = max(1000, total // HOT_SHARE)
+    hot = F.broadcast(one.where(F.col("rows") >= bound))  # at most HOT_SHARE rows
+    rest = one.where(F.col("rows") < bound)
+    keys = hot.select(key, F.lit(True).alias("_hot"))
+    marked = many.join(F.broadcast(keys), key, "left")
+    common = marked.where("_hot").drop("_hot").join(hot, key)
+    return marked.where("_hot is null").drop("_hot").join(rest.hint("merge"), key, how).unionByName(common).drop("rows")
+
+
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b): the smallest node reachable.
 
@@ -83,9 +103,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     aggregates and joins, and its edges are stored, so no lineage grows.
     """
 
-    def star(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return both, least
+    def least_of(both: DataFrame) -> DataFrame:
+        return both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
 
     now = store(edges.select(F.least("a", "b").alias("m"), F.greatest("a", "b").alias("v")).where("m < v").distinct(), name)
     mark = None
@@ -94,11 +113,12 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         if found == mark or not found[0]:
             break
         mark = found
-        both, least = star(now.select(F.col("m").alias("u"), "v").unionByName(now.select(F.col("v").alias("u"), F.col("m").alias("v"))))
-        large = both.join(least, "u").where("v > u").select("m", "v").where("m < v").distinct()
+        both = now.select(F.col("m").alias("u"), "v").unionByName(now.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = least_of(both).withColumn("m", F.least("u", "m"))
+        large = store(join_one(both, least, "u").where("v > u").select("m", "v").where("m < v").distinct(), f"{name}-large")
         down = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v > m").select("m", "v").unionByName(least.select("m", F.col("u").alias("v"))).distinct()
+        least = least_of(down)
+        small = join_one(down, least, "u").where("v > m").select("m", "v").unionByName(least.select("m", F.col("u").alias("v"))).distinct()
         now = store(small, name)
     stars = now.select(F.col("v").alias("node"), F.col("m").alias("component"))
     return stars.unionByName(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())

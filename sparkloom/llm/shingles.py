@@ -1,11 +1,14 @@
-"""Word shingles as sorted 64-bit hashes, computed without a loop over words."""
+"""Word shingles as sorted 128-bit names, computed without a loop over words."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WORDS = 5
 _C = np.uint64(0x9E3779B97F4A7C15)
+_D = np.uint64(0xC2B2AE3D27D4EB4F)
+NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,50 +20,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _C) | np.uint64(1)
-_powers = np.ones(1, dtype=np.uint64)
+def word_names(raw: bytes) -> np.ndarray:
+    """A 128-bit hash of each word [^\\x20\\x09-\\x0D]+ of a text, A-Z lowered, in text order."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw.lower().split())), dtype=NAME)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, 64) * 2, np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-    return _powers
+def unique(names: np.ndarray, counts: bool = False):
+    """Different names, sorted (with ``counts``: and how often each occurs)."""
+    order = np.argsort(names["a"], kind="stable")
+    s = names[order]
+    new = np.ones(len(s), dtype=bool)
+    same = s["a"][1:] == s["a"][:-1]
+    if (same & (s["b"][1:] != s["b"][:-1])).any():  # names that agree in one half only
+        s = names[np.lexsort((names["b"], names["a"]))]
+        same = s["a"][1:] == s["a"][:-1]
+    new[1:] = ~same | (s["b"][1:] != s["b"][:-1])
+    if not counts:
+        return s[new]
+    return s[new], np.diff(np.append(np.flatnonzero(new), len(s)))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash for each word [^\\x20\\x09-\\x0D]+ of a text, A-Z lowered, in text order."""
-    a = np.frombuffer(raw.lower(), dtype=np.uint8)
-    space = (a == 32) | ((a >= 9) & (a <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    letters = a[~space]
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    offset = np.arange(len(letters)) - np.repeat(first, sizes)
-    sums = np.add.reduceat(_BYTE[letters] * powers(int(sizes.max()))[offset], first)
-    return mix(sums ^ sizes.astype(np.uint64) * _C)
+def places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each name the number of its value among all different ones, and how often each value occurs."""
+    order = np.lexsort((names["b"], names["a"]))
+    s = names[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
+    out = np.empty(len(s), dtype=np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, np.diff(np.append(np.flatnonzero(new), len(s)))
 
 
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
     """The set of ``words``-word shingles, sorted; with fewer words the whole sequence is one, without words none."""
-    w = word_hashes(raw)
+    w = word_names(raw)
     if not len(w):
         return w
     n = min(words, len(w))
-    h = np.full(len(w) - n + 1, np.uint64(n), dtype=np.uint64)
-    for k in range(n):
-        h = mix(h * _C + w[k : k + len(h)])
-    return np.unique(h)
+    out = np.empty(len(w) - n + 1, dtype=NAME)
+    for lane, c in (("a", _C), ("b", _D)):
+        h = np.full(len(out), np.uint64(n), dtype=np.uint64)
+        for k in range(n):
+            h = mix(h * c + w[lane][k : k + len(out)])
+        out[lane] = h
+    return unique(out)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
+    """Size of the intersection of two sets."""
+    return len(a) + len(b) - len(unique(np.concatenate((a, b))))
