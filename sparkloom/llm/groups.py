@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, unused
 
 
 Group = dict[str, "np.ndarray | list"]
@@ -79,21 +79,21 @@ def map_all_groups(df: DataFrame, keys: list[str], fn: Callable[[Iterator[Group]
 HOT_SHARE = 2000
 
 
-def join_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: str = "rows") -> DataFrame:
     """``many`` joined with ``one``, which has a row a key and the column ``rows``: how many rows of ``many`` have that key.
 
-    Keys with at least 1 / ``HOT_SHARE`` of all rows are ``HOT_SHARE`` at most;
-    they are broadcast, so no task gets more than that share of one key.
+    Keys with at least 1 / ``HOT_SHARE`` of the rows that ``one`` knows are
+    ``HOT_SHARE`` at most; they are broadcast, so no task gets more than that
+    share of one of them.
     """
     one = store(one, "one")
-    total = one.agg(F.sum("rows")).first()[0] or 0
+    total = one.agg(F.sum(rows)).first()[0] or 0
     bound = max(1000, total // HOT_SHARE)
-    hot = F.broadcast(one.where(F.col("rows") >= bound))  # at most HOT_SHARE rows
-    rest = one.where(F.col("rows") < bound)
-    keys = hot.select(key, F.lit(True).alias("_hot"))
-    marked = many.join(F.broadcast(keys), key, "left")
-    common = marked.where("_hot").drop("_hot").join(hot, key)
-    return marked.where("_hot is null").drop("_hot").join(rest.hint("merge"), key, how).unionByName(common).drop("rows")
+    hot = one.where(F.col(rows) >= bound)  # at most HOT_SHARE rows
+    mark = unused(many, "_hot")
+    marked = many.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    common = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot), key)
+    return marked.where(F.col(mark).isNull()).drop(mark).join(one.where(F.col(rows) < bound).hint("merge"), key, how).unionByName(common).drop(rows)
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:

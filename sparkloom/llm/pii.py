@@ -8,16 +8,24 @@ far as the entity's information content is explained by the term:
     PMI(e; t) / IC(e) = ln(co * N / (df_e * df_t)) / ln(N / df_e)
 
 with N different texts, df those that hold e or t, and co those where t stands
-within ``WINDOW`` characters of e; so copies of a document change nothing.  A term that reaches ``THRESHOLD`` counts with
-evidence: ``SUPPORT`` different contexts (exact copies of a context count once), or
-fewer, of an entity however rare, if chance would hardly put the two together:
-the bound (df_e * df_t / N) ** co on that is at most ``CHANCE``.  All occurrences of such a
-term, in any text, are spans of kind ``term``; terms that reach ``REMOVE`` for an
-entity are removed, others generalised.
-
-Defined results: a null or empty text has no spans; equal texts have equal spans;
-positions are code points; an empty table gives an empty table; rows may repeat;
-other columns are carried by ``sanitise`` and do not matter elsewhere.
+within ``WINDOW`` characters of e; so copies of a document change nothing.  A term
+that reaches ``THRESHOLD`` counts with evidence: ``SUPPORT`` different contexts
+(exact copies of a context count once), or fewer, of an entity however rare, if
+chance would hardly put the two together: the bound (df_e * df_t / N) ** co on that
+is at most ``CHANCE``.  All occurrences of such a term, in any text, are spans of
+kind ``term``.  Terms that reach ``REMOVE`` for an entity are removed.  The others
+are generalised: to the rarest term that stands in at least ``SUBSUMES`` of the
+contexts of the disclosing one, is more frequent in the corpus and discloses
+nothing itself (so it is the more general one of the two); to ``[TERM]`` where
+there is none.
+
+Every different text (by 128 bits of it) is looked at once; its spans then go to
+all rows that have it.
+
+Defined results: a null or empty text has no spans; texts may be of any length;
+equal texts have equal spans; positions are code points; an empty table gives an
+empty table; rows may repeat; other columns are carried by ``detect`` (in ``row``)
+and ``sanitise`` as they are, whatever their names, and do not matter elsewhere.
 
 The patterns are possessive and start only where a match can start, so a long
 run of one character is read once; they match as the plain patterns do.
@@ -31,10 +39,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, unused
+from .groups import join_one
 
 WINDOW, SUPPORT, THRESHOLD, REMOVE = 80, 3, 0.9, 0.99
 CHANCE = 0.001
+SUBSUMES = 0.8
+NO_TERM = "[TERM]"
 BASE = ("email", "ip", "card", "phone")
 _MAIL = r"[A-Za-z0-9._%+-]"
 #: A pattern for each kind, and a cheap test that any text with a match passes.
@@ -190,21 +201,41 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(texts: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(kind, value, term, disclosure) of the terms that reveal an entity; ``texts`` has _text, _plain and _hash, each text once."""
+def frequencies(texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """(term, df_t) of the terms in any context: in how many texts each is."""
+    corpus = texts.select(F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    return corpus.join(seen.select(F.explode("terms").alias("term")).distinct().hint("merge"), "term", "left_semi")
+
+
+def disclosing(n: int, counts: DataFrame, seen: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """(kind, value, term, disclosure) of the terms that reveal an entity; ``n`` texts, ``counts`` from ``frequencies``."""
     entity = seen.groupBy("kind", "value").agg(F.countDistinct("_hash").alias("df_e"))
     words = seen.select("_hash", "kind", "value", "context", F.explode("terms").alias("term"))
     pairs = words.groupBy("kind", "value", "term").agg(F.countDistinct("_hash").alias("co"), F.countDistinct("context").alias("contexts"))
-    corpus = texts.select(F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    n = texts.agg(F.count("*").alias("n"))
-    joined = corpus.join(pairs, "term").join(entity, ["kind", "value"]).join(F.broadcast(n))  # n is one row
-    information = F.log(F.col("n") / F.col("df_e"))
-    score = F.when(information > 0, F.log(F.col("co") * F.col("n") / (F.col("df_e") * F.col("df_t"))) / information).otherwise(F.lit(0.0))
-    chance = F.col("co") * F.log(F.col("df_e") * F.col("df_t") / F.col("n"))
+    joined = counts.join(pairs, "term").join(entity, ["kind", "value"])
+    texts = F.lit(n)
+    information = F.log(texts / F.col("df_e"))
+    score = F.when(information > 0, F.log(F.col("co") * texts / (F.col("df_e") * F.col("df_t"))) / information).otherwise(F.lit(0.0))
+    chance = F.col("co") * F.log(F.col("df_e") * F.col("df_t") / texts)
     evidence = (F.col("contexts") >= support) | (chance <= math.log(CHANCE) + 1e-9)
     return joined.where(evidence).select("kind", "value", "term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
+def actions(known: DataFrame, counts: DataFrame, seen: DataFrame) -> DataFrame:
+    """(term, action): what stands in place of each disclosing term, nothing where it is removed."""
+    worst = known.groupBy("term").agg(F.max("disclosure").alias("worst")).join(counts, "term")
+    contexts = seen.dropDuplicates(["context", "terms"]).select("terms", F.explode("terms").alias("term"))
+    mild = worst.where(F.col("worst") < REMOVE).select("term", "df_t")
+    held = contexts.join(mild, "term").select("term", "df_t", F.explode("terms").alias("general"))
+    together = held.groupBy("term", "df_t", "general").agg(F.count("*").alias("n"))
+    all_ = together.where("term = general").select("term", F.col("n").alias("of"))
+    wider = together.join(all_, "term").where(F.col("n") >= SUBSUMES * F.col("of"))
+    wider = wider.join(counts.select(F.col("term").alias("general"), F.col("df_t").alias("df_g")), "general").where("df_g > df_t").join(known.select(F.col("term").alias("general")).distinct(), "general", "left_anti")
+    best = wider.groupBy("term").agg(F.min(F.struct("df_g", "general"))["general"].alias("general"))
+    replacement = F.when(F.col("worst") >= REMOVE, F.lit("")).otherwise(F.coalesce("general", F.lit(NO_TERM)))
+    return worst.join(best, "term", "left").select("term", replacement.alias("action"))
+
+
 def flagged(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(_hash, _term): the spans of all occurrences of the terms in ``known`` (term, action), for the texts that hold one."""
     held = texts.select("_hash", F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).join(known, "term")
@@ -218,45 +249,63 @@ def flagged(texts: DataFrame, known: DataFrame) -> DataFrame:
     return texts.join(held.hint("merge"), "_hash").select("_hash", placed(F.col("_known")).alias("_term"))
 
 
-def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with _email, _ip, _card, _phone and _term: arrays of spans; a term's value is ``remove`` or ``generalise``."""
-    ready = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    ready = ready.withColumn("_hash", F.xxhash64("_text"))
-    found = base(ready)
-    texts = store(prose(base(ready.select("_hash", "_text").dropDuplicates(["_hash"]))), "texts")
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def analysed(docs: DataFrame, text_col: str, support: int, threshold: float) -> DataFrame:
+    """(_hash, _text, rows, _email, ..., _term) of every different text that has a span."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    once = docs.select(text.alias("_text")).where("_text <> ''").withColumn("_hash", _key(F.col("_text"))).groupBy("_hash").agg(F.first("_text").alias("_text"), F.count("*").alias("rows"))
+    texts = store(prose(base(once)), "texts")
+    empty = docs.where(text == "").limit(1).count()  # the empty text is one of the different ones
     seen = store(occurrences(texts), "occurrences")
-    known = disclosing(texts, seen, support, threshold)
-    action = F.when(F.max("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
-    by_text = store(flagged(texts, store(known.groupBy("term").agg(action.alias("action")), "terms")), "flagged")
-    return found.join(by_text, "_hash", "left").withColumn("_term", F.coalesce("_term", F.array().cast(SPAN)))
+    counts = store(frequencies(texts, seen), "frequencies")
+    known = store(disclosing(texts.count() + empty, counts, seen, support, threshold), "disclosing")
+    by_text = store(flagged(texts, store(actions(known, counts, seen), "terms")), "flagged")
+    with_base = texts.where(_some(*BASE)).select("_hash", F.lit(True).alias("_any"))
+    any_ = by_text.join(with_base, "_hash", "full").select("_hash", "_term")
+    return texts.drop("_plain").join(any_.hint("merge"), "_hash").withColumn("_term", F.coalesce("_term", F.array().cast(SPAN)))
+
+
+KINDS = (*BASE, "term")
+
+
+def detect(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` as the struct ``row``, and email, ip, card, phone and term: arrays of spans; a term's value is what replaces it."""
+    found = analysed(docs, text_col, support, threshold).select("_hash", "rows", *(F.col(f"_{k}").alias(k) for k in KINDS))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"))
+    return join_one(rows, found, "_hash", "left").select("row", *(F.coalesce(k, F.array().cast(SPAN)).alias(k) for k in KINDS))
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts by kind, the digest of the base spans and all spans as a string."""
 
     def places(kind: str) -> Column:
-        return F.transform(F.col(f"_{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+        return F.transform(F.col(kind), lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
-    listed = {k: places(k) for k in (*BASE, "term")}
+    listed = {k: places(k) for k in KINDS}
     first = F.concat_ws(",", *(listed[k] for k in BASE))
     return found.select(
-        F.col(id_col).alias("doc_id"),
-        *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE),
+        F.col("row")[id_col].alias("doc_id"),
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(first.cast("binary"), 256).alias("base_sha256"),
-        F.concat_ws(",", *(listed[k] for k in (*BASE, "term"))).alias("spans"),
-        F.size("_term").cast("long").alias("n_term"),
+        F.concat_ws(",", *(listed[k] for k in KINDS)).alias("spans"),
+        F.size("term").cast("long").alias("n_term"),
     )
 
 
-def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base spans and disclosing terms replaced by what kind they are; of overlapping spans all goes, under one name."""
-    names = docs.columns
-    found = detect(docs, text_col)
+def sanitise(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with base spans replaced by what kind they are, and disclosing terms removed or generalised; of overlapping spans all goes, under one name."""
 
     def tagged(s: Column) -> Column:
-        tag = F.when(s["value"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        tag = F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["kind"] == "term").cast("int").alias("term"), tag.alias("tag"))
 
-    clean = replaced(F.col("_text"), merged(F.transform(_all(*BASE, "term"), tagged)), lambda r: r["tag"])
-    clean = F.when(_some(*BASE, "term"), clean).otherwise(F.col(text_col))
-    return found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in names])
+    found = analysed(docs, text_col, support, threshold)
+    clean = replaced(F.col("_text"), merged(F.transform(_all(*KINDS), tagged)), lambda r: r["tag"])
+    key, new = unused(docs, "_hash"), unused(docs, "_clean")
+    rows = docs.withColumn(key, _key(F.coalesce(F.col(text_col), F.lit(""))))
+    count = unused(docs, "rows")
+    joined = join_one(rows, found.select(F.col("_hash").alias(key), F.col("rows").alias(count), clean.alias(new)), key, "left", count)
+    return joined.select(*[F.coalesce(F.col(new), F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

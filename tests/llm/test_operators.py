@@ -217,7 +217,8 @@ def test_terms_that_disclose_an_entity_go(spark):
     filler = ["the river runs through green valleys and over stones", "people walk along their streets every morning before work", "some birds sing while other animals sleep under trees"]
     data = [(k, f"{filler[k % 3]} note{k} Zanzibar wrote from zed@host.org about item{k}, {filler[(k + 1) % 3]}") for k in range(6)]
     data += [(100 + k, f"{filler[k % 3]} and {filler[(k + 1) % 3]} about nothing wrote from here") for k in range(60)]
-    docs = spark.createDataFrame([(i, t, "e") for i, t in data], "doc_id long, text string, _email string")
+    docs = spark.createDataFrame([(i, t, "e", t, 5) for i, t in data], "doc_id long, text string, _email string, _text string, rows int")
+    assert {(r._email, r._text == dict(data)[r.doc_id], r.rows) for r in pii.sanitise(docs.withColumn("_hash", F.lit(1)).withColumn("row", F.lit(2))).collect()} == {("e", True, 5)}
     found = {r.doc_id: r for r in pii.report(pii.detect(docs)).collect()}
     for i, t in data:
         at = t.find("Zanzibar")
@@ -226,10 +227,80 @@ def test_terms_that_disclose_an_entity_go(spark):
             assert "wrote" not in [t[int(a) : int(b)] for _, a, b in (s.split(":") for s in found[i].spans.split(","))]
         else:
             assert found[i].spans == ""
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs.drop("_email")).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all("Zanzibar" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6)) and clean[100] == dict(data)[100]
 
 
+def disclosed(texts):
+    """Brute force: {term: replacement} of the terms that disclose an entity."""
+    texts = sorted(set(texts))
+    n = len(texts)
+    plain, contexts = {}, {}
+    for t in texts:
+        p = list(t)
+        for _, a, b in base_spans(t):
+            p[a:b] = " " * (b - a)
+        plain[t] = "".join(p)
+    words = {t: {m.lower() for m in re.findall(r"[^\W\d_]{4,}", plain[t])} for t in texts}
+    df = collections.Counter(w for t in texts for w in words[t])
+    where, co, seen = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for t in texts:
+        for kind, a, b in base_spans(t):
+            e = (kind, t[a:b].lower())
+            low = max(0, a - pii.WINDOW)
+            near = {m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", plain[t]) if low <= m.start() and m.end() <= a or b <= m.start() and m.end() <= b + pii.WINDOW}
+            # a word that reaches the edge of the window is whole only where the text ends
+            near -= {m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", plain[t][low:a]) if m.start() == 0 and low > 0}
+            near -= {m[0].lower() for m in re.finditer(r"[^\W\d_]{4,}", plain[t][b : b + pii.WINDOW]) if m.end() == pii.WINDOW and b + pii.WINDOW < len(t)}
+            where[e].add(t)
+            context = (t[low:a], t[b : b + pii.WINDOW])
+            contexts[context] = near
+            for w in near:
+                co[e, w].add(t)
+                seen[e, w].add(context)
+    worst = {}
+    for (e, w), held in co.items():
+        ic = math.log(n / len(where[e]))
+        score = round(math.log(len(held) * n / (len(where[e]) * df[w])) / ic, 6) if ic > 0 else 0.0
+        rare = len(held) * math.log(len(where[e]) * df[w] / n) <= math.log(pii.CHANCE) + 1e-9
+        if (len(seen[e, w]) >= pii.SUPPORT or rare) and score >= pii.THRESHOLD:
+            worst[w] = max(score, worst.get(w, 0))
+    out = {}
+    for w, score in worst.items():
+        own = [near for near in contexts.values() if w in near]
+        wider = [(df[g], g) for g in set().union(*own) if df[g] > df[w] and g not in worst and sum(g in near for near in own) >= pii.SUBSUMES * len(own)]
+        out[w] = "" if score >= pii.REMOVE else min(wider)[1] if wider else "[TERM]"
+    return out
+
+
+def test_terms_are_those_of_brute_force_with_and_without_copies(spark):
+    rand = random.Random(11)
+    common = ["river", "green", "valley", "people", "street", "morning", "animal", "sleep", "stone", "winter"]
+    people = [("zanzibar", "zed@host.org"), ("quixote", "10.1.2.3"), ("ulysses", "+1 (555) 123-4567"), ("hamlet", "4111 1111 1111 1111")]
+    data = []
+    for k in range(400):
+        text = " ".join(rand.choices(common, k=12))
+        if k < 40:
+            name, value = people[k % 4]
+            text = f"{text} {name if rand.random() < 0.9 else 'someone'} captain {value} {' '.join(rand.choices(common, k=rand.randint(1, 14)))}"
+        elif k < 44:
+            text += f" {people[k % 4][0]} alone {k}"
+        data.append((k, text))
+    known = disclosed([t for _, t in data])
+    assert {"zanzibar", "quixote", "ulysses", "hamlet"} <= set(known) and set(known.values()) - {"", "[TERM]"}
+    copies = data + data[:9] * 5 + data[60:70] * 3 + [(None, None), (900, "")]
+    for rows in (data, copies):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for r in pii.detect(docs).collect():
+            found = [((r.row.text or "")[s.start : s.end].lower(), s.value) for s in r.term]
+            plain = r.row.text or ""
+            for _, a, b in base_spans(plain):
+                plain = plain[:a] + " " * (b - a) + plain[b:]
+            assert found == [(w, known[w]) for w in re.findall(r"[^\W\d_]{4,}", plain.lower()) if w in known]
+        for r in pii.sanitise(docs).collect():
+            assert not {w for w in re.findall(r"[^\W\d_]{4,}", (r.text or "").lower())} & set(known)
+
+
 def test_copies_do_not_change_terms(spark):
     filler = ["the river runs through green valleys", "people walk along their streets", "some birds sing under trees"]
     data = [(k, f"{filler[k]} and Zanzibar wrote from zed@host.org about {filler[k - 1]}") for k in range(3)]
