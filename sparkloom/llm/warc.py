@@ -1,19 +1,25 @@
 """Derivatives of WARC responses: linked metadata and plain-text conversion records.
 
-For every response (URI, HTTP message) the builder emits a ``metadata`` record
-(application/warc-fields: title, language, out-links) and a ``conversion`` record
-(text/plain).  Both refer to the response by WARC-Refers-To; block and payload
-digests are SHA-1 in base 32.  Record ids are name-based, so a run that is
-repeated gives the same ids.
+For every response (record id, URI, date, HTTP message) the builder emits a
+``metadata`` record (application/warc-fields: every header of the source as it
+stands, in order and with repeats, then title, language and out-links) and a
+``conversion`` record (text/plain).  Both refer to the response by WARC-Refers-To;
+block and payload digests are SHA-1 in base 32.  Record ids are name-based, so a
+run that is repeated gives the same ids.
 
 Defined results: a null body is an empty one, a null URI is empty; each input row
 gives two records, repeated rows too (with equal ids); markup that is not closed
-runs to the end; other columns do not matter.
+runs to the end; a charset that is unknown or cannot decode the body counts as
+UTF-8; a chunked body ends where a chunk's size cannot be read, what follows is
+kept as it stands; bodies may be of any length, all patterns read each character
+a bounded number of times; an empty table gives an empty table; other columns,
+whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
@@ -21,19 +27,22 @@ from collections.abc import Iterator
 from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*+(?:\Z|>.*?(?:</\1\s*+>|\Z))", re.S | re.I)
+_BLOCK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*+>?", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*+>?")
 _GAPS = re.compile(r"[ \t\r\f\v]{2,}|[\t\r\f\v]")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_TITLE = re.compile(r"<title\b[^>]*+>?", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*+)", re.I)
+_HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]+))", re.I)
+_HTML = re.compile(r"<html\b([^>]*+)", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z-]+)", re.I)
 RECORDS = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, refers_to_payload_digest string, headers string, block binary"
 
 
@@ -51,32 +60,36 @@ def response(uri: str, body: str) -> bytes:
     return HTTP_HEAD.format(n=len(raw)).encode() + raw
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers (names in lower case; folded lines joined) and payload of an HTTP message."""
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in order (folded lines joined) and payload of an HTTP message."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
         head, gap, body = block.partition(b"\n\n")
     lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("latin-1")).splitlines()
-    fields: dict[str, str] = {}
-    for line in lines[1:]:
-        name, _, value = line.partition(":")
-        fields.setdefault(name.strip().lower(), value.strip())
-    if fields.get("transfer-encoding", "").lower() == "chunked":
+    fields = [(name.strip(), value.strip()) for name, _, value in (x.partition(":") for x in lines[1:])]
+    if first(fields, "transfer-encoding").lower() == "chunked":
         body = _unchunk(body)
     return (lines[0] if lines else ""), fields, body
 
 
+def first(fields: list[tuple[str, str]], name: str) -> str:
+    """The first header of that name (small letters), or nothing."""
+    return next((v for k, v in fields if k.lower() == name), "")
+
+
 def _unchunk(data: bytes) -> bytes:
     out, at = [], 0
     while at < len(data):
         end = data.find(b"\r\n", at)
-        if end < 0:
+        size = data[at : end if end >= 0 else None].split(b";")[0].strip()
+        if end < 0 or not size or size.strip(b"0123456789abcdefABCDEF"):
+            out.append(data[at:])
             break
-        size = int(data[at:end].split(b";")[0].strip() or b"0", 16)
-        if size == 0:
+        n = int(size, 16)
+        if n == 0:
             break
-        out.append(data[end + 2 : end + 2 + size])
-        at = end + 2 + size + 2
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
     return b"".join(out)
 
 
@@ -90,26 +103,35 @@ def plain_text(markup: str) -> str:
 
 
 def links(markup: str) -> list[str]:
-    return [entities.unescape(a or b or c).strip() for a, b, c in _LINK.findall(markup)]
+    found = (_HREF.search(x[1]) for x in _ANCHOR.finditer(markup))
+    return [entities.unescape(m[1] or m[2] or m[3] or "").strip() for m in found if m]
+
 
+def title_of(markup: str) -> str:
+    start = _TITLE.search(markup)
+    if not start:
+        return ""
+    end = _TITLE_END.search(markup, start.end())
+    return " ".join(entities.unescape(markup[start.end() : end.start() if end else None]).split())
 
-def _charset(fields: dict[str, str]) -> str:
-    found = re.search(r"charset\s*=\s*\"?([\w-]+)", fields.get("content-type", ""), re.I)
+
+def decoded(body: bytes, content_type: str) -> str:
+    found = re.search(r"charset\s*+=\s*+\"?([\w-]+)", content_type, re.I)
     try:
-        return "".encode(found[1]) and found[1] or found[1] if found else "utf-8"
-    except LookupError:
-        return "utf-8"
+        return body.decode(found[1] if found else "utf-8", "replace")
+    except (LookupError, ValueError):  # unknown, or no encoding of texts
+        return body.decode("utf-8", "replace")
 
 
 def derive(source_id: str, uri: str, date: str, block: bytes) -> list[tuple]:
     """The two derived records of a response: (type, id, refers-to, uri, date, content type, block digest, payload digest, source's payload digest, header text, block)."""
     status, fields, body = split_http(block)
-    markup = body.decode(_charset(fields), "replace")
+    markup = decoded(body, first(fields, "content-type"))
     source_digest = digest(body)
     visible = _HIDDEN.sub(" ", markup)
-    title = _TITLE.search(visible)
-    language = _LANG.search(visible)
-    meta = [("http-status", status.split(" ")[1] if " " in status else ""), ("source-content-type", fields.get("content-type", "")), ("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("html-lang", language[1].lower() if language else "")]
+    page = _HTML.search(visible)
+    language = _LANG.search(page[1]) if page else None
+    meta = [("http-status", status.split(" ")[1] if " " in status else ""), *(("source-header", f"{k}: {v}") for k, v in fields), ("title", title_of(visible)), ("html-lang", language[1].lower() if language else "")]
     meta += [("outlink", x) for x in links(visible)]
     blocks = (
         ("metadata", "application/warc-fields", "".join(f"{k}: {' '.join(v.split())}{CRLF}" for k, v in meta if v).encode()),
@@ -142,33 +164,75 @@ def serialise(headers: str, block: bytes) -> bytes:
 
 
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Records of an uncompressed WARC file: (headers, block)."""
+    """Records of a WARC file, plain or gzip: (headers, block)."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)  # members follow each other
     out, at = [], 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        head = dict(x.split(": ", 1) for x in lines[1:])
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            raise ValueError("a record header is cut off")
+        head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split(CRLF)[1:])}
+        if not head.get("Content-Length", "").isdigit():
+            raise ValueError("a record has no length")
         size = int(head["Content-Length"])
+        if end + 4 + size > len(data):
+            raise ValueError("a record is cut off")
         out.append((head, data[end + 4 : end + 4 + size]))
         at = end + 4 + size + 4
     return out
 
 
-def derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", uri_col: str = "url", body_col: str = "html") -> DataFrame:
-    """Two records for each page, built from its response record."""
+RESPONSES = "page_id long, record_id string, target_uri string, warc_date string, block binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (a file is read by one task): what ``derived`` takes; ``page_id`` is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                found = [(None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI", ""), h.get("WARC-Date", ""), b) for h, b in parse(data.as_py()) if h.get("WARC-Type") == "response"]
+                for at in range(0, len(found), 256):
+                    yield _batch(found[at : at + 256], RESPONSES)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSES)
+
+
+def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", uri_col: str = "url", body_col: str = "html") -> DataFrame:
+    """Response records of pages that came without their HTTP message; the record id is named by what it holds."""
     source = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for page, uri, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    block = response(uri, body)
-                    rows += [(page, *x) for x in derive(record_id(uri, date, digest(block)), uri, date, block)]
-                names = [x.split()[0] for x in RECORDS.split(", ")]
-                kinds = [pa.int64(), *[pa.string()] * (len(names) - 2), pa.binary()]
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return source.mapInArrow(run, RECORDS)
+                found = [(page, uri, response(uri, body)) for page, uri, body in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+                yield _batch([(page, record_id(uri, date, digest(block)), uri, date, block) for page, uri, block in found], RESPONSES)
+
+    return source.mapInArrow(run, RESPONSES)
+
+
+def derived(found: DataFrame) -> DataFrame:
+    """Two records for each response (``RESPONSES``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(page, *x) for page, source, uri, date, block in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True) for x in derive(source or "", uri or "", date or "", block or b"")]
+                yield _batch(rows, RECORDS)
+
+    return found.select(*(x.split()[0] for x in RESPONSES.split(", "))).mapInArrow(run, RECORDS)
+
+
+def derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", uri_col: str = "url", body_col: str = "html") -> DataFrame:
+    """Two records for each page, built from its response record."""
+    return derived(responses(pages, date, id_col, uri_col, body_col))
