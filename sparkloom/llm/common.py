@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation.
@@ -35,7 +35,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))  # a write that fails leaves files too
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language, media, minhash, packing, pii, ppm, repeats, token_counts, warc
-from .common import read
+from .common import read, store
 
 
 def tokenizer(name: str) -> str:
@@ -28,10 +28,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place; null texts are their end token."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_crc() % 4 == 2
     profiles = language.learn(docs, ~held_out)
@@ -39,22 +41,27 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.media(read(spark, sf_dir, "documents")))
+    """The files are stored, and the digests and features come from what is read back."""
+    return media.digests(store(media.media(read(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and runs that repeat something earlier, per document."""
     return repeats.remove_repeats(read(spark, sf_dir, "documents"), keep=False).drop("kept")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data and of terms that disclose it."""
     return pii.report(pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
     return ppm.score(read(spark, sf_dir, "documents"), id_crc() % 5 == 1)
 
 
@@ -65,6 +72,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
