@@ -9,8 +9,10 @@ it is missing.  The nearest profile wins, ties by language name.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 as is everything when there is nothing to learn from; rows without a language
-are predicted but not learnt from; equal texts have equal results; n-grams of
-equal frequency rank by their code points.
+are predicted but not learnt from; texts may be of any length; equal texts have
+equal results; n-grams of equal frequency rank by their code points; rows may
+repeat; an empty table gives an empty table; other columns are carried, but for
+columns named ``lang_pred`` or ``score``, which are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ is about 134 bytes for 35 windows.
    each shard's suffix array is induced; places whose permuted common prefix
    reaches the window length are equal windows, and all but the first go.  An
    anchor with more than ``HOT`` contents is not gathered: its windows are dealt one
-   by one, by fingerprints of their bytes, and resolved as in step 2.
+   by one, by 128 bits of their bytes, and resolved as in step 2.
+
+Contents are compared by a 64-bit hash beside the 64-bit anchor, which is a hash
+of another part of them; texts of a shard by their bytes.
 
 Defined results: null and empty texts have nothing to remove; texts shorter than a
 window stay; rows with equal doc_id count as one document, in which the place
@@ -30,6 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +50,12 @@ PART = 1 << 18  # bytes hashed at a time
 TASK_SEGMENTS = 400_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xC2B2AE3D27D4EB4F)
-_BYTE = [mix(np.arange(1, 257, dtype=np.uint64) * c) for c in (_C, _D)]
-_BASE = 0x5851F42D4C957F2D
 NULL_ID = -(1 << 63)
 #: A segment's windows start at pos, pos + 1, ..., pos + n - 1.
 SEGMENT = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("twice", "<i8")])
 MARKS = "doc_id long, kind int, pos long, n long, key long, data binary"
 MARK, COMPARE, SPREAD, TEXT = 0, 1, 2, 3
 
-_tables: dict[int, np.ndarray] = {}
-
-
 def _trim() -> None:
     """Give freed memory back: workers live on, and what their allocator holds counts against the executor."""
     try:
@@ -65,19 +64,11 @@ def _trim() -> None:
         pass
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    have = _tables.get(base)
-    if have is None or len(have) < n:
-        size = max(n, PART + 1)
-        have = _tables[base] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, np.uint64(base)), dtype=np.uint64)))
-    return have
-
-
-def _ranges(a: np.ndarray, start: np.ndarray, length: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of each of the given ranges of bytes, wherever they stand."""
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[which][a] * _powers(len(a), _BASE)[: len(a)], dtype=np.uint64)))
-    back = _powers(len(a) + 1, pow(_BASE, -1, 1 << 64))
-    return mix((sums[start + length] - sums[start]) * back[start] ^ length.astype(np.uint64) * _C)
+def _contents(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of the given ranges of bytes."""
+    view = memoryview(raw)
+    ends = (start + size).tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), ends, strict=True)), np.uint64, len(ends))
 
 
 def _slide(h: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -95,7 +86,6 @@ def segments(raw: bytes, doc: int, first: int = 0) -> np.ndarray:
     n = len(raw) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, dtype=SEGMENT)
-    a = np.frombuffer(raw, dtype=np.uint8)
     size = len(raw) - GRAM + 1
     h = np.zeros(size, dtype=np.uint64)
     for at in range(0, GRAM, 8):
@@ -105,7 +95,7 @@ def segments(raw: bytes, doc: int, first: int = 0) -> np.ndarray:
     start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.append(start, n))
     out = np.zeros(len(start), dtype=SEGMENT)
-    out["anchor"], out["content"], out["doc"], out["pos"], out["n"] = anchor[start], _ranges(a, start, count + WINDOW - 1), doc, start + first, count
+    out["anchor"], out["content"], out["doc"], out["pos"], out["n"] = anchor[start], _contents(raw, start, count + WINDOW - 1), doc, start + first, count
     # Does the anchor stand twice in a segment? Only then may a window repeat inside it.
     edge = np.concatenate((np.zeros(SPAN - 1, np.uint64), anchor, np.zeros(SPAN - 1, np.uint64)))
     chosen = np.flatnonzero(_slide(edge, SPAN, False) == h)
@@ -230,16 +220,12 @@ def _match(group: Group, limit: int = HOT) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(raw: bytes, doc: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Each window of the given segments on its own, named by two hashes; n is 0 as a sign."""
+    """Each window of the given segments on its own, named by 128 bits; n is 0 as a sign."""
     starts = np.concatenate([np.arange(p, p + k) for p, k in zip(pos, n, strict=True)])
+    view = memoryview(raw)
+    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[p : p + WINDOW]) for p in starts.tolist()), dtype="<u8").reshape(-1, 2)
     out = np.zeros(len(starts), dtype=SEGMENT)
-    for at in range(0, len(raw), PART):
-        own = (starts >= at) & (starts < at + PART)
-        if own.any():
-            a = np.frombuffer(raw[at : at + PART + WINDOW], dtype=np.uint8)
-            size = np.full(int(own.sum()), WINDOW)
-            out["anchor"][own], out["content"][own] = _ranges(a, starts[own] - at, size), _ranges(a, starts[own] - at, size, 1)
-    out["doc"], out["pos"] = doc, starts
+    out["anchor"], out["content"], out["doc"], out["pos"] = names[:, 0], names[:, 1], doc, starts
     return out
 
 

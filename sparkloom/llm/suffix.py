@@ -1,13 +1,13 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over numpy arrays.
 
-Induction goes bucket by bucket.  What a bucket holds when the scan reaches it is
-one wave; suffixes that the wave puts into the same bucket are the next one.  All
-steps of a wave are array operations, so the loop runs over letters, not suffixes.
-
 Leftmost-smaller (LMS) substrings are sorted by one induction and named; the
-string of names is sorted recursively.  A string with more letters than
-``LARGE`` would need a loop over too many buckets; its suffixes are ranked by
-prefix doubling instead.
+string of names is sorted recursively, and its order induces that of all suffixes.
+
+An induction of a few letters goes bucket by bucket.  What a bucket holds when the
+scan reaches it is one wave; suffixes that the wave puts into the same bucket are
+the next one.  All steps of a wave are array operations, so the loop runs over
+letters, not suffixes.  With more than ``LARGE`` letters (in the recursion, where
+buckets hold few suffixes) the same induction goes suffix by suffix.
 """
 
 from __future__ import annotations
@@ -125,55 +125,48 @@ def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray) -> tuple[np.ndarra
     return by_place[lms], int(name[-1]) + 1
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix order by ranks of 1, 2, 4, ... letters; only suffixes that still tie are sorted again."""
-    n = len(s)
-    rank = s.astype(np.int64)
-    sa = np.argsort(rank, kind="stable")
-    rank_sorted = rank[sa]
-    new = np.concatenate(([True], rank_sorted[1:] != rank_sorted[:-1]))
-    group = np.flatnonzero(new)[np.cumsum(new) - 1]
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = group
-    k = 1
-    while True:
-        tied = np.zeros(n, dtype=bool)
-        g = rank[sa]
-        eq = g[1:] == g[:-1]
-        tied[1:] |= eq
-        tied[:-1] |= eq
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return sa
-        own = sa[at]
-        nxt = own + k
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        order = np.lexsort((second, g[at]))
-        own, second, first = own[order], second[order], g[at][order]
-        sa[at] = own
-        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        rank[own] = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        k *= 2
+def _induce_each(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``_induce``, suffix by suffix."""
+    text, small = s.tolist(), smaller.tolist()
+    sa = [-1] * len(text)
+    tail = ends.tolist()
+    for i in lms[::-1].tolist():
+        tail[text[i]] -= 1
+        sa[tail[text[i]]] = i
+    head = starts.tolist()
+    for k in range(len(sa)):
+        i = sa[k] - 1
+        if i >= 0 and not small[i]:
+            c = text[i]
+            sa[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        i = sa[k] - 1
+        if i >= 0 and small[i]:
+            c = text[i]
+            tail[c] -= 1
+            sa[tail[c]] = i
+    return np.array(sa, dtype=np.int64)
 
 
 def _sort(s: np.ndarray, letters: int) -> np.ndarray:
     n = len(s)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
-    if letters > LARGE:
-        return _doubling(s)
+    induce = _induce_each if letters > LARGE else _induce
     smaller = _types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     ends = np.cumsum(np.bincount(s, minlength=letters))
     starts = np.concatenate(([0], ends[:-1]))
-    first = _induce(s, smaller, lms, starts, ends)
+    first = induce(s, smaller, lms, starts, ends)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     order = first[is_lms[first]]
     names, count = _names(s, order, lms)
     if count < len(lms):
         order = lms[_sort(names, count)]
-    return _induce(s, smaller, order, starts, ends)
+    return induce(s, smaller, order, starts, ends)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

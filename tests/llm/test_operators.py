@@ -395,7 +395,7 @@ def test_decontamination(docs, rows, spark):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "short"), (903, BASE * 2)], "item_id long, text string"))
     found = decontaminate.matches(docs, items).collect()
     normal = {(i, t): decontaminate.normal(t or "") for i, t, _ in rows}
-    exact = {(i, r.item_id) for i, t, _ in rows for r in items.collect() if len(decontaminate.normal(r.text or "")) >= 40 and decontaminate.normal(r.text) in normal[i, t]}
+    exact = {(i, r.item_id) for i, t, _ in rows for r in items.collect() if decontaminate.normal(r.text or "") and f" {decontaminate.normal(r.text)} " in f" {normal[i, t]} "}
     assert exact <= {(r.doc_id, r.item_id) for r in found}
     assert all(r.distance <= decontaminate.budget(r.item_chars, decontaminate.RATE) for r in found)
     small = decontaminate.matches(docs, items, block_chars=500).collect()  # several passes
@@ -412,6 +412,19 @@ def test_warc(spark):
     found = warc.derivatives(pages).collect()
     assert digest((r.page_id, r.warc_type) for r in found) == {(1, "metadata"): 1, (1, "conversion"): 1, (2, "metadata"): 2, (2, "conversion"): 2}
     assert len({r.record_id for r in found}) == 4
+    assert warc.derivatives(pages.where("false")).count() == 0
+
+
+def test_warc_files_as_a_source(spark, tmp_path):
+    import gzip
+
+    message = b"HTTP/1.1 200 OK\r\nX-A: 1\r\nX-A: 2\r\n\r\n<title>T</title>x"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % len(message) + message + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record.replace(b"response", b"request", 1) + record)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
+    found = warc.derived(warc.read(spark, str(tmp_path))).collect()
+    assert len(found) == 6 and {(r.refers_to, r.warc_date, r.target_uri) for r in found} == {("<urn:uuid:1>", "2020-01-01T00:00:00Z", "http://a/")}
+    assert all(b"source-header: X-A: 1\r\nsource-header: X-A: 2\r\ntitle: T" in r.block for r in found if r.warc_type == "metadata")
 
 
 def test_empty_tables(docs, spark):
