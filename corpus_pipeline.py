@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, minhash, packing, pii
-from sparkloom.llm.common import read, store
+from sparkloom.llm.common import read, store, unused
 from sparkloom.llm.queries import id_crc, tokenizer
 
 
@@ -29,15 +29,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so a missing or repeated doc_id neither
     hides a copy nor takes other rows along.
     """
+    name = unused(docs, "_key")
     key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
-    found = minhash.near_duplicates(docs.withColumn("_key", key), "_key")
+    found = minhash.near_duplicates(docs.select(key.alias("_key"), "text"), "_key")
     linked = store(found.where(~F.col("kept")).select(F.col("doc_id").alias("_key"), "component_id").distinct(), "linked")
     first = linked.select(F.col("component_id").alias("_key"), "component_id").distinct()  # the smallest key of each group
     ids = docs.select(key.alias("_key"), "doc_id").distinct()
     members = store(linked.unionByName(first).join(ids, "_key"), "named")
     stay = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"].alias("_key"))
     gone = members.select("_key").join(stay, "_key", "left_anti")
-    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").drop("_key").dropDuplicates(["doc_id", "text"])
+    rest = docs.withColumn(name, key).join(gone.withColumnRenamed("_key", name), name, "left_anti")
+    return rest.dropDuplicates([name]).drop(name)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
