@@ -75,12 +75,16 @@ class Words:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the blank before it."""
+        if len(word) <= LONG and word.isascii():
+            before = "" if self.word_ends else " "
+            if word.isalpha():
+                return self._run(before + (word.lower() if before == "" else word))
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self._run(before + (word[:-1].lower() if before == "" else word[:-1])) + self._run(word[-1])
         if len(word) > LONG or not _PLAIN.fullmatch(word) or "|" in word and any(s in word for s in self.special):
             return self.whole(" " + word)
         if self.word_ends:
             return b"".join(map(self._run, _RUNS_OF_WORDS.findall(word.lower())))
-        if word.isalpha():
-            return self._run(" " + word)
         out = []
         for line in word.split("\n"):
             first, *others = _RUNS.findall(line)
@@ -89,22 +93,26 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as native 32-bit numbers (little-endian on the machines Spark runs on)."""
-        parts = [self._cut(t) for t in texts]
-        words: set[str] = set()
-        for _, own in parts:
-            words.update(own)
         if len(self.known) > KNOWN:
             self.known, self.earlier = {}, self.known
         if len(self.runs) > KNOWN:
             self.runs = {}
         known, earlier = self.known, self.earlier
-        new = words - known.keys()
-        for w in new:
-            known[w] = earlier.get(w) or self._word(w)
-        out = [(self.whole(first) if first else b"") + b"".join([known[w] for w in own]) for first, own in parts]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
+        out = []
+        for text in texts:
+            first, words = self._cut(text)
+            ids = list(map(known.get, words))
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                w = words[k]
+                found = known.get(w)
+                if found is None:
+                    found = earlier.get(w)
+                    if found is None:
+                        found = self._word(w)
+                    if len(w) <= LONG:
+                        known[w] = found
+                ids[k] = found
+            out.append((self.whole(first) if first else b"") + b"".join(ids))
         return out
 
     def _cut(self, text: str) -> tuple[str, list[str]]:
