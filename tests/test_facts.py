@@ -45,3 +45,25 @@ def test_every_language_takes_any_text():
             assert 1 <= s["line"] <= s["end_line"] <= text.count("\n") + 1
 
     check()
+
+
+MORE = {
+    "kotlin": ("data class P(val a: Int) : Q() {\n  override fun <T> f(x: T) = 1\n}\nobject O\nenum class E {\n}\n", {("P", "class"), ("P.f", "method"), ("O", "object"), ("E", "class")}),
+    "scala": ("case class A(x: Int) extends B {\n  def go(y: Int): Int = y\n}\ntrait T\n", {("A", "class"), ("A.go", "method"), ("T", "trait")}),
+    "swift": ("public final class A: B {\n  static func f() -> Int {\n  }\n}\nextension A {\n}\nprotocol P {\n}\n", {("A", "class"), ("A.f", "method"), ("A", "extension"), ("P", "protocol")}),
+    "php": ("abstract class A extends B {\n  public function f($x) {\n  }\n}\nfunction &g() {\n}\n", {("A", "class"), ("A.f", "method"), ("g", "function")}),
+    "dart": ("class A extends B {\n  static int f(int x) {\n    return g(x);\n  }\n}\nextension E on A {\n}\n", {("A", "class"), ("A.f", "method"), ("E", "extension")}),
+    "csharp": ("namespace N;\npublic class A : B {\n  [X]\n  public async Task<int> F(int x) {\n    return await G(x);\n  }\n  public A(int y) {\n  }\n}\n", {("A", "class"), ("A.F", "method"), ("A.A", "method")}),
+    "typescript": ("export type X = A | B;\ninterface I extends J {\n}\nexport default async function* f() {\n}\nlet g = async x => x;\nlet h = 5;\nclass C {\n  k = (a) => a;\n}\n", {("X", "type"), ("I", "interface"), ("f", "function"), ("g", "function"), ("C", "class"), ("C.k", "method")}),
+    "c": ("struct s {\n  int a;\n};\nstatic int *f(int a,\n  int b)\n{\n  return g(a);\n}\nint h(void);\nenum e { A };\n", {("s", "struct"), ("f", "function"), ("e", "enum")}),
+    "go": ("type A[T any] struct {\n}\ntype I interface {\n}\ntype N int\nfunc (A) f() {\n}\nfunc g[T any](x T) {\n}\n", {("A", "struct"), ("I", "interface"), ("N", "type"), ("A.f", "method"), ("g", "function")}),
+    "rust": ("pub(crate) enum E {\n}\nimpl<T> E {\n  pub async fn f(&self) {}\n}\nmod m {\n  trait R {}\n}\nmod far;\ntype Y = u8;\n", {("E", "enum"), ("E.f", "method"), ("m", "module"), ("m.R", "trait"), ("Y", "type")}),
+    "bitbake": ("do_install() {\n}\npython do_x () {\n}\ndef f(d):\n", {("do_install", "function"), ("do_x", "function"), ("f", "function")}),
+    "devicetree": ("/ {\n  uart0: serial@10 {\n  };\n};\n&i2c {\n};\n", {("/", "node"), ("serial@10", "node"), ("&i2c", "node")}),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(MORE))
+def test_declarations(lang):
+    text, expected = MORE[lang]
+    assert {(s["qualname"], s["kind"]) for s in facts.scan(text, lang)[0]} == expected
