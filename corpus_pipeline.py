@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, minhash, packing, pii
-from sparkloom.llm.common import read, store, unused
+from sparkloom.llm.common import drop_stored, read, store, unused
 from sparkloom.llm.queries import id_crc, tokenizer
+from sparkloom.storage import scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; each result is written to the shared folder, read again, and deleted with the other stored tables."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        table = scratch(f"pipeline-{name}")
+        docs = store(stage(spark, docs, sf_dir), table)
+        if before:
+            drop_stored(before)
+        before = table
     return STAGES[-1][1](spark, docs, sf_dir)

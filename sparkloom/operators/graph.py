@@ -7,22 +7,19 @@ edges, and its result is written where a lost executor can read it again.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop_stored, scratch, store
+
 # What an edge of a kind weighs in ranking.
 KIND_WEIGHT = {"imports": 1.0, "calls": 1.0, "inherits": 1.5, "references": 0.6, "depends": 0.3, "contains": 0.5, "co_change": 0.4}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and reread in spark.checkpoint.dir, so that a loop's plan stays short."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sparkloom"
-    path = f"{where}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str = "graph") -> DataFrame:
+    """Write and reread in the shared folder, so that a loop's plan stays short."""
+    return store(df, name)
 
 
 def structural(edges: DataFrame) -> DataFrame:
@@ -60,10 +57,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, pers
     if not total[1]:
         return ids.withColumn("rank", F.lit(0.0))
     p = weight.withColumn("p", F.col("p") / total[0] if total[0] else F.lit(1.0 / total[1]))
+    work = scratch("pagerank")
     used = edges.where("weight > 0").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = used.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = cut(used.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    p = cut(p.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left"))
+    share = cut(used.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), work)
+    p = cut(p.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left"), work)
     rank = p.select("id", F.col("p").alias("rank"))
     for k in itertools.count():  # each step shrinks the distance by d
         if k == rounds:
@@ -74,9 +72,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, pers
         new = p.join(got, "id", "left").crossJoin(F.broadcast(lost))  # one row
         rank = new.select("id", ((1 - d) * F.col("p") + d * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))
         if k % 3 == 2:
-            rank = cut(rank)
+            rank = cut(rank, work)
             if rounds is None and rank.join(before.withColumnRenamed("rank", "was"), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("was"))), F.lit(0.0))).first()[0] < tol:
                 break
+    drop_stored(work, but=rank)
     return rank
 
 
@@ -93,11 +92,12 @@ def focused_rank(nodes: DataFrame, edges: DataFrame, focus: DataFrame, tol: floa
 
 def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, level) of what is reached over src -> dst within ``depth`` steps, the first level counts."""
+    work = scratch("levels")
     seen = start.select("id").distinct().withColumn("level", F.lit(0).cast("long"))
     front = seen
     for k in range(1, depth + 1):
         step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti").withColumn("level", F.lit(k).cast("long")))
+        front = cut(step.join(seen, "id", "left_anti").withColumn("level", F.lit(k).cast("long")), work)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -115,7 +115,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> list:
     """A shortest undirected path, of equal ones that over the smallest ids; empty if there is none (with ``most``: none of so many steps)."""
-    spark = edges.sparkSession
+    spark, work = edges.sparkSession, scratch("path")
     both = undirected(edges)
     kind = both.schema["src"].dataType.simpleString()
     seen = spark.createDataFrame([(a, None)], f"id {kind}, before {kind}")
@@ -124,17 +124,20 @@ def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> list:
         if not seen.where(F.col("id") == F.lit(b)).isEmpty():
             break
         step = front.join(both, front["id"] == both["src"]).groupBy("dst").agg(F.min("src").alias("before")).withColumnRenamed("dst", "id")
-        front = cut(step.join(seen, "id", "left_anti"))
+        front = cut(step.join(seen, "id", "left_anti"), work)
         if front.isEmpty():
+            drop_stored(work)
             return []
-        seen = cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front), work)
     path, at = [], b
     while at is not None:  # a row for each step is looked up
         row = seen.where(F.col("id") == F.lit(at)).first()
         if row is None:
-            return []
+            path = []
+            break
         path.append(at)
         at = row["before"]
+    drop_stored(work)
     return path[::-1]
 
 
@@ -146,14 +149,16 @@ def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     only fall, so it ends; ``rounds`` stops it before no label moves.
     """
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    both = cut(both)
+    work = scratch("communities")
+    both = cut(both, work)
     label = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in itertools.count() if rounds is None else range(rounds):
         votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         own = label.select(F.col("id").alias("src"), "label", F.lit(1e-6).alias("w"))
         best = votes.unionByName(own).groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("best"))
-        new = cut(label.join(best.withColumnRenamed("src", "id"), "id").select("id", F.least("label", "best").alias("label"), (F.col("best") < F.col("label")).alias("moved")))
+        new = cut(label.join(best.withColumnRenamed("src", "id"), "id").select("id", F.least("label", "best").alias("label"), (F.col("best") < F.col("label")).alias("moved")), work)
         label = new.drop("moved")
         if new.where("moved").isEmpty():
             break
+    drop_stored(work, but=label)
     return label

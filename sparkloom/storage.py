@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
+def scratch(name: str) -> str:
+    """A name that no other call has, for the tables of one loop."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lost executor costs a re-read, never a recomputation."""
     spark = df.sparkSession
