@@ -2,58 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_SHARED = "/tmp/checkpoints/sparkloom"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Where the setting is missing, a local master gets LOCAL_SHARED; on a cluster
-    that would be a machine-local folder, so it is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_SHARED
-
-
-def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    The files go when the driver's Python ends, or with ``drop_stored``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))  # a write that fails leaves files too
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(name: str | None = None) -> None:
-    """Delete what ``store`` has written (with ``name``: only that table's files)."""
-    for spark, path in list(_written):
-        if name is not None and f"sparkloom-{name}-" not in path:
-            continue
-        _written.remove((spark, path))
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended already
-            return
-
+from ..storage import drop_stored, shared_dir, store
 
-atexit.register(drop_stored)
+__all__ = ["drop_stored", "partitions", "read", "shared_dir", "store", "texts", "unused"]
 
 
 def partitions(spark: SparkSession) -> int:
