@@ -184,3 +184,37 @@ def is_snapshot(text: Column) -> Column:
         r"(?i)^\s*(checkpoint\b|phase\s*\d+\s*(done|complete|completed)\b|.{0,40}\b(live\s+)?progress\b|status\b|.{0,30}\bstatus\s+\d{4}-\d\d-\d\d|"
         r"verification at checkpoint|audit\s+\d{4}-\d\d-\d\d|(?-i:[A-Z0-9 _-]{3,40}\b(DONE|COMPLETE|COMPLETED|LIVE)\b[^:(]{0,20}[:(]))"
     )
+
+
+def parse_ts(text: Column) -> Column:
+    """a moment from ISO text; without a zone it is UTC; a leading date and time is enough; else null."""
+    s = F.trim(text)
+    s = F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(s, F.lit("T00:00:00"))).otherwise(s)
+    start = F.regexp_extract(s, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d)", 1)
+    whole = F.when(s.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d([.,]\d+)?)?([zZ]|[+-]\d\d:?\d\d)$"), s).when(s.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d([.,]\d+)?)?$"), F.concat(s, F.lit("Z")))
+    return F.coalesce(F.try_to_timestamp(F.translate(whole, ",", ".")), F.try_to_timestamp(F.concat(F.nullif(start, F.lit("")), F.lit("Z"))))
+
+
+def snippet(text: Column, words: list[str], width: int = 160) -> Column:
+    """``width`` characters from a third of it before the first word found, with marks where text is left out."""
+
+    def cut(flat: Column) -> Column:
+        found = [F.nullif(F.instr(F.lower(flat), F.lit(w)), F.lit(0)) for w in words]
+        first = F.coalesce(F.array_min(F.array(*found)), F.lit(1)) - 1
+        start = F.greatest(first - width // 3, F.lit(0))
+        piece = F.substring(flat, start + 1, F.lit(width))
+        return F.concat(F.when(start > 0, "…").otherwise(""), piece, F.when(start + width < F.length(flat), "…").otherwise(""))
+
+    return let(squeeze(F.coalesce(text, F.lit(""))), cut)
+
+
+def source_tag(source: Column) -> Column:
+    """where a row came from; what the agent wrote itself has no mark."""
+    return F.when(F.coalesce(source, F.lit("")).isin("", "agent", "checkpoint"), "").when(source.startswith("migrate"), "[imported]").otherwise(F.concat(F.lit("["), source, F.lit("]")))
+
+
+def sparkline(values: Column) -> Column:
+    """a bar of eight heights for each number, by the greatest one."""
+    most = F.array_max(values)
+    height = lambda v: F.when(most > 0, F.bround(7 * v / most)).otherwise(0).cast("int")
+    return F.array_join(F.transform(values, lambda v: F.substring(F.lit("▁▂▃▄▅▆▇█"), height(v) + 1, F.lit(1))), "")

@@ -601,8 +601,11 @@ def call_resolution(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import upkeep  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
