@@ -126,27 +126,29 @@ def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray) -> tuple[np.ndarra
 
 
 def _induce_each(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """``_induce``, suffix by suffix."""
-    text, small = s.tolist(), smaller.tolist()
-    sa = [-1] * len(text)
-    tail = ends.tolist()
-    for i in lms[::-1].tolist():
-        tail[text[i]] -= 1
-        sa[tail[text[i]]] = i
-    head = starts.tolist()
-    for k in range(len(sa)):
-        i = sa[k] - 1
-        if i >= 0 and not small[i]:
-            c = text[i]
-            sa[head[c]] = i
-            head[c] += 1
-    tail = ends.tolist()
-    for k in range(len(sa) - 1, -1, -1):
-        i = sa[k] - 1
-        if i >= 0 and small[i]:
-            c = text[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
+    """``_induce``, suffix by suffix; both scans read the places that they fill.
+
+    For a place, ``larger`` and ``less`` have the letter before it where the suffix
+    from there is of that type, else -1; their last entry answers for empty places.
+    """
+    larger, less = np.full((2, len(s) + 1), -1, dtype=np.int64)
+    larger[1:-1] = np.where(smaller[:-1], -1, s[:-1])
+    less[1:-1] = np.where(smaller[:-1], s[:-1], -1)
+    first = np.full(len(s), -1, dtype=np.int64)
+    _put(first, lms[::-1], s[lms[::-1]], ends.copy(), False)
+    sa, before, edge = first.tolist(), larger.tolist(), starts.tolist()
+    for place in sa:
+        c = before[place]
+        if c >= 0:
+            to = edge[c]
+            sa[to] = place - 1
+            edge[c] = to + 1
+    before, edge = less.tolist(), ends.tolist()
+    for place in reversed(sa):
+        c = before[place]
+        if c >= 0:
+            edge[c] = to = edge[c] - 1
+            sa[to] = place - 1
     return np.array(sa, dtype=np.int64)
 
 
