@@ -218,10 +218,10 @@ def session_rollup(spark, sf):
     return lifecycle.sessions(_turns(spark, sf))
 
 
-@query("SELECT DISTINCT 's' || conv_id AS session_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')")
+@query("SELECT DISTINCT 's' || event_id AS session_id FROM events WHERE event_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')")
 def silent_sessions_anti(spark, sf):
-    turns = _turns(spark, sf)
-    return lifecycle.silent(turns.select("session_id").distinct(), turns)
+    opened = S.table(spark, sf, "events").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_id")).distinct()
+    return lifecycle.silent(opened, _turns(spark, sf))
 
 
 @query(f"WITH {TURNS} SELECT session_id, role, hash, min(id) AS id FROM turns WHERE trim(text) <> '' GROUP BY session_id, role, prompt_id, hash")
