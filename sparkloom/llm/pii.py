@@ -236,17 +236,16 @@ def actions(known: DataFrame, counts: DataFrame, seen: DataFrame) -> DataFrame:
     return worst.join(best, "term", "left").select("term", replacement.alias("action"))
 
 
-def flagged(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(_hash, _term): the spans of all occurrences of the terms in ``known`` (term, action), for the texts that hold one."""
+def holding(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(_hash, _known): what replaces each term of ``known`` (term, action), for the texts that hold one."""
     held = texts.select("_hash", F.explode(words_of(F.coalesce("_plain", "_text"))).alias("term")).join(known, "term")
-    # Merged at every size: texts that hold a term grow with the corpus.
-    held = store(held.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_known")), "held")  # at most the terms of one text
+    return held.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_known"))  # at most the terms of one text
 
-    def placed(known: Column) -> Column:
-        at = F.transform(spans(F.coalesce("_plain", "_text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), known[F.lower(t["value"])].alias("value")))
-        return F.filter(at, lambda t: t["value"].isNotNull())
 
-    return texts.join(held.hint("merge"), "_hash").select("_hash", placed(F.col("_known")).alias("_term"))
+def flagged(found: DataFrame) -> DataFrame:
+    """Add _term: the spans of all occurrences of the terms in ``_known``, none where it is null."""
+    at = F.transform(spans(F.coalesce("_plain", "_text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.col("_known")[F.lower(t["value"])].alias("value")))
+    return found.withColumn("_term", F.when(F.col("_known").isNotNull(), F.filter(at, lambda t: t["value"].isNotNull())).otherwise(F.array().cast(SPAN)))
 
 
 def _key(text: Column) -> Column:
@@ -257,15 +256,15 @@ def analysed(docs: DataFrame, text_col: str, support: int, threshold: float) ->
     """(_hash, _text, rows, _email, ..., _term) of every different text that has a span."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     once = docs.select(text.alias("_text")).where("_text <> ''").withColumn("_hash", _key(F.col("_text"))).groupBy("_hash").agg(F.first("_text").alias("_text"), F.count("*").alias("rows"))
-    texts = store(prose(base(once)), "texts")
+    texts = store(prose(base(once)), "texts", "zstd")
     empty = docs.where(text == "").limit(1).count()  # the empty text is one of the different ones
     seen = store(occurrences(texts), "occurrences")
     counts = store(frequencies(texts, seen), "frequencies")
     known = store(disclosing(texts.count() + empty, counts, seen, support, threshold), "disclosing")
-    by_text = store(flagged(texts, store(actions(known, counts, seen), "terms")), "flagged")
-    with_base = texts.where(_some(*BASE)).select("_hash", F.lit(True).alias("_any"))
-    any_ = by_text.join(with_base, "_hash", "full").select("_hash", "_term")
-    return texts.drop("_plain").join(any_.hint("merge"), "_hash").withColumn("_term", F.coalesce("_term", F.array().cast(SPAN)))
+    held = store(holding(texts, store(actions(known, counts, seen), "terms")), "held")
+    # Merged at every size: texts that hold a term grow with the corpus.
+    either = texts.join(held.hint("merge"), "_hash", "left").where(_some(*BASE) | F.col("_known").isNotNull())
+    return flagged(either).drop("_plain", "_known")
 
 
 KINDS = (*BASE, "term")
