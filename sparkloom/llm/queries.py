@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language, media, minhash, packing, pii, ppm, repeats, token_counts, warc
 from .common import read, store
+from .oracles import ORACLES
 
 
 def tokenizer(name: str) -> str:
@@ -86,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -462,3 +462,19 @@ def test_pipeline_stages_keep_columns_and_rows(docs, spark, rows):
     final = corpus_pipeline.STAGES[-1][1](spark, kept, DATA)
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_near_duplicates_equal_their_sql(spark):
+    import duckdb
+
+    words = [f"w{i}" for i in range(40)]
+    near = [*words[:39], "other"]
+    data = [(5, " ".join(words)), (3, " ".join(near)), (9, "  ".join(words).upper()), (7, None), (8, ""), (2, "one two"), (1, "ONE\ttwo"), (4, "one two three"), (6, " \x0b\r\n"), (10, " ".join(words[:20] + near[20:30])), (11, "Ä b c d e f"), (12, "ä b c d e f")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = minhash.near_duplicates(docs)
+    rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()}
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", data)
+    assert rows == set(base.execute(queries.oracle_sql()["op6_near_duplicates"]).fetchall())
+    assert {r[2] for r in rows if r[0] in (3, 5, 9)} == {3}
