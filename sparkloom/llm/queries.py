@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, media, minhash, packing, pii, ppm, repeats, token_counts, warc
+from . import decontaminate, divergence, language, media, minhash, packing, pii, ppm, repeats, token_counts, warc
 from .common import read, store
 from .oracles import ORACLES
 
@@ -77,10 +77,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each pair of sources of a language differs, and the terms that a source uses more than its language."""
+    return divergence.divergence(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op2_packing, op3_language, op4_media, op5_repeats, op6_near_duplicates, op7_pii, op8_ppm, op9_warc, op10_token_counts]
+    own = [op1_decontaminate, op2_packing, op3_language, op4_media, op5_repeats, op6_near_duplicates, op7_pii, op8_ppm, op9_warc, op10_token_counts, op11_divergence]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
