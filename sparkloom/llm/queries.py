@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, language, media, minhash, packing, pii, ppm, repeats, token_counts, warc
+from . import decontaminate, divergence, language, media, minhash, packing, pii, ppm, prefix_join, repeats, token_counts, warc, whitening
 from .common import read, store
 from .oracles import ORACLES
 
@@ -82,10 +82,20 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first four axes of its table, each scaled to variance one."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similarity 0.8 or more."""
+    return prefix_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_decontaminate, op2_packing, op3_language, op4_media, op5_repeats, op6_near_duplicates, op7_pii, op8_ppm, op9_warc, op10_token_counts, op11_divergence]
+    own = [op1_decontaminate, op2_packing, op3_language, op4_media, op5_repeats, op6_near_duplicates, op7_pii, op8_ppm, op9_warc, op10_token_counts, op11_divergence, op12_whitening, op13_prefix_join]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
