@@ -188,7 +188,8 @@ def tile_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (lang, x, y, bucket, term, source, block, n, lang_n, total, lang_total) to partial values.
 
     In each (lang, x, y, bucket) the rows of the empty term come first: the totals
-    of the sources of the blocks x and y.  Then each term is a run of its sources.
+    of the sources of the blocks x and y, and as n the number of terms of the bucket.
+    Then each term is a run of its sources; terms that none of them has, have no run.
     """
 
     def emit(lang: str, source: pa.Array, part: str, item: pa.Array, value: np.ndarray) -> pa.RecordBatch:
@@ -198,6 +199,8 @@ def tile_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> Iterator[pa.RecordBatch]:
         a, b = np.nonzero(np.triu(np.ones_like(state["sum"], dtype=bool), 1) & state["apart"])
         if len(a):
+            none = probability(np.zeros_like(state["total"]), state["total"])
+            state["sum"] += state["unseen"] * np.abs(none[:, None] - none[None, :])
             names, value = state["sources"], state["sum"][a, b]
             one, two = names.take(pa.array(a)), names.take(pa.array(b))
             yield emit(state["lang"], one, "pair", two, value)
@@ -211,6 +214,7 @@ def tile_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = pc.index_in(rows.column("source"), state["sources"]).to_numpy(zero_copy_only=False).astype(np.int64)
         n, lang_n = rows.column("n").to_numpy(), rows.column("lang_n").to_numpy()
         total, width = state["total"], len(state["total"])
+        state["unseen"] -= len(first)
         step = max(1, (1 << 20) // width)
         for lo in range(0, len(first), step):
             own = slice(*np.searchsorted(term, (lo, lo + step)))
@@ -258,7 +262,7 @@ def advance(rows: pa.RecordBatch, state: dict, terms, close) -> Iterator[pa.Reco
         top = rows.slice(0, heads)
         block = top.column("block").to_numpy()
         x, y = (top.column(c)[0].as_py() for c in ("x", "y"))
-        state.update(lang=top.column("lang")[0].as_py(), x=x, y=y, sources=top.column("source"), total=top.column("total").to_numpy(), lang_total=top.column("lang_total")[0].as_py())
+        state.update(lang=top.column("lang")[0].as_py(), x=x, y=y, sources=top.column("source"), total=top.column("total").to_numpy(), lang_total=top.column("lang_total")[0].as_py(), unseen=top.column("n")[0].as_py())
         state.update(sum=np.zeros((heads, heads), dtype=np.int64), apart=np.full((heads, heads), True) if x == y else block[:, None] != block[None, :])
     if rows.num_rows > heads:
         yield from terms(rows.slice(heads))
@@ -289,9 +293,12 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
         return inner.select("lang", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "bucket", *columns)
 
     shape = ["term", "source", "block", "n", "lang_n", "total", "lang_total"]
-    heads = tiled(groups.join(of_lang, "lang"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)), F.lit("").alias("term"), "source", "block", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("lang_n"), (F.coalesce("total", F.lit(0)) + F.col("more")).alias("total"), "lang_total").select("lang", "x", "y", "bucket", *shape)
     zero = F.lit(0).cast("long")
-    body = tiled(real.join(of_lang, "lang"), F.pmod(F.xxhash64("term"), F.col("buckets")), "term", "source", "block", "n", "lang_n", zero.alias("total"), zero.alias("lang_total")).select("lang", "x", "y", "bucket", *shape)
+    number = F.pmod(F.xxhash64("term"), F.col("buckets"))
+    terms = real.where("nth = 1").join(of_lang, "lang").groupBy("lang", number.alias("bucket")).agg(F.count("*").alias("n"))
+    opened = groups.join(of_lang, "lang").withColumn("bucket", F.explode(F.sequence(zero, F.col("buckets") - 1))).join(terms, ["lang", "bucket"], "left")
+    heads = tiled(opened, F.col("bucket"), F.lit("").alias("term"), "source", "block", F.coalesce("n", zero).alias("n"), zero.alias("lang_n"), (F.coalesce("total", F.lit(0)) + F.col("more")).alias("total"), "lang_total").select("lang", "x", "y", "bucket", *shape)
+    body = tiled(real.join(of_lang, "lang"), number, "term", "source", "block", "n", "lang_n", zero.alias("total"), zero.alias("lang_total")).select("lang", "x", "y", "bucket", *shape)
     keys = ["lang", "x", "y", "bucket"]
     parts = heads.unionByName(body).repartition(*keys).sortWithinPartitions(*keys, "term", "source").mapInArrow(tile_scan, PARTS)
     parts = store(parts, "parts")

@@ -69,16 +69,14 @@ def centred(x: np.ndarray, mean: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndar
 
 
 def sliced(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """Slices whose sum is high + low but for 2 ** -(BITS * SLICES) of the largest entry; products of two add up exactly."""
-    top = float(np.abs(high).max(initial=0.0))
-    if not top:
-        return []
-    unit, out = 2.0 ** (np.ceil(np.log2(top)) - BITS + 1), []
+    """Slices whose sum is high + low but for 2 ** -(BITS * SLICES) of the largest entry of a column; products of two add up exactly."""
+    top = np.abs(high).max(axis=0, initial=0.0)
+    unit, out = 2.0 ** (np.ceil(np.log2(np.where(top > 0, top, 1.0))) - BITS + 1), []
     for _ in range(SLICES):
         q = np.rint(high / unit) * unit
         out.append(q)
         high, low = two_sum(high - q, low)
-        unit *= 2.0**-BITS
+        unit = unit * 2.0**-BITS
     return out
 
 
@@ -97,8 +95,8 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def whole_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, x) of the rows that remain."""
+def whole_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """(vec_id, x) of the rows that remain, and the length of x."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     good = df.where(v.isNotNull() & (F.size(v) > 0) & ~bad)
