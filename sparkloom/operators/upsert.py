@@ -18,35 +18,47 @@ def opened(touches: DataFrame) -> DataFrame:
 
 
 def touch_sessions(sessions: DataFrame, touches: DataFrame) -> DataFrame:
-    """K8: sessions after some touches; one that had ended is open again."""
+    """K8: sessions after some touches, which may come late or out of order.
+
+    The earliest start and the latest touch count; texts of the later side win; a
+    session that had ended is open again if it was touched after its end.
+    """
     a, b = sessions.alias("a"), opened(touches).withColumn("_new", F.lit(True)).alias("b")
     new = F.coalesce("b._new", F.lit(False))
+    later = F.coalesce(F.col("b.last_seen_at") >= F.col("a.last_seen_at"), new)
 
     def own(name: str) -> Column:
-        return F.coalesce(f"b.{name}", f"a.{name}").alias(name)
+        return F.when(later, F.coalesce(f"b.{name}", f"a.{name}")).otherwise(F.coalesce(f"a.{name}", f"b.{name}")).alias(name)
 
+    again = new & (F.col("a.ended_at").isNull() | (F.col("b.last_seen_at") >= F.col("a.ended_at")))
     return a.join(b, "session_id", "full_outer").select(
-        "session_id", own("agent"), own("cwd"), own("title"), F.coalesce("a.started_at", "b.started_at").alias("started_at"), own("last_seen_at"),
+        "session_id", own("agent"), own("cwd"), own("title"), F.least("a.started_at", "b.started_at").alias("started_at"), F.greatest("a.last_seen_at", "b.last_seen_at").alias("last_seen_at"),
         (F.coalesce("a.prompts", F.lit(0)) + F.coalesce("b.prompts", F.lit(0))).alias("prompts"),
-        *[F.when(~new, F.col(f"a.{c}")).alias(c) for c in ("ended_at", "end_reason")],
+        *[F.when(~again, F.col(f"a.{c}")).alias(c) for c in ("ended_at", "end_reason")],
     )
 
 
 def add_sessions(sessions: DataFrame, more: DataFrame) -> DataFrame:
-    """K9: sessions whose id is not there yet are added, the others left as they are."""
-    return sessions.unionByName(more.dropDuplicates(["session_id"]).join(sessions.select("session_id"), "session_id", "left_anti"), allowMissingColumns=True)
+    """K9: sessions whose id is not there yet are added, the others left as they are; of several with one id the earliest started."""
+    first = more.groupBy("session_id").agg(F.min_by(F.struct("*"), F.struct("started_at", F.struct(*[c for c in more.columns if c != "session_id"]))).alias("_s")).select("_s.*")
+    return sessions.unionByName(first.join(sessions.select("session_id"), "session_id", "left_anti"), allowMissingColumns=True)
 
 
 def end_sessions(sessions: DataFrame, ends: DataFrame) -> DataFrame:
-    """K9: ends (session_id, at, reason) applied, of several the last."""
-    e = ends.groupBy("session_id").agg(F.max("at").alias("_at"), F.max_by("reason", "at").alias("_reason"))
-    gone = F.col("_at").isNotNull()
-    set_ = {"ended_at": F.coalesce("_at", "ended_at"), "end_reason": F.when(gone, F.col("_reason")).otherwise(F.col("end_reason")), "last_seen_at": F.coalesce("_at", "last_seen_at")}
+    """K9: ends (session_id, at, reason) applied, of several the last; an end before the last touch does nothing."""
+    e = ends.groupBy("session_id").agg(F.max("at").alias("_at"), F.max_by("reason", F.struct("at", "reason")).alias("_reason"))
+    gone = F.coalesce(F.col("_at") >= F.col("last_seen_at"), F.lit(False))
+    set_ = {"ended_at": F.when(gone, F.col("_at")).otherwise(F.col("ended_at")), "end_reason": F.when(gone, F.col("_reason")).otherwise(F.col("end_reason")), "last_seen_at": F.when(gone, F.col("_at")).otherwise(F.col("last_seen_at"))}
     return sessions.join(e, "session_id", "left").withColumns(set_).drop("_at", "_reason")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (), fixed: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``new`` (one a key) replace those of ``old``; a null in a ``keep`` column keeps the old value, a ``fixed`` column stays as first written."""
+    """Rows of ``new`` replace those of ``old`` with their key; a null in a ``keep`` column keeps the old value, a ``fixed`` column stays as first written.
+
+    Of several new rows with a key the greatest counts (``latest`` chooses otherwise); null keys are one key.
+    """
+    rest = [c for c in old.columns if c != key]
+    new = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
     def pick(c: str) -> Column:
         if c in keep:
@@ -55,7 +67,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (),
         return F.when(F.col(f"{first}._in").isNotNull(), F.col(f"{first}.{c}")).otherwise(F.col(f"{then}.{c}"))
 
     a, b = (df.withColumn("_in", F.lit(True)).alias(n) for df, n in ((old, "a"), (new.select(*old.columns), "b")))
-    return a.join(b, key, "full_outer").select(*[F.col(key) if c == key else pick(c).alias(c) for c in old.columns])
+    joined = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
+    return joined.select(*[F.coalesce(f"a.{key}", f"b.{key}").alias(key) if c == key else pick(c).alias(c) for c in old.columns])
 
 
 def latest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:

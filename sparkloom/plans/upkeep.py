@@ -10,6 +10,7 @@ from ..operators.retrieval import postings
 from ..sources import tables as S
 from ..streaming import events as E
 from ..streaming import handlers as H
+from ..streaming import sessions
 from .catalogue import ASKED, WORDS, _asked, query
 
 MID = "2024-01-15"
@@ -89,25 +90,89 @@ def prefix_search(spark, sf):
     return index.search(index.build(S.table(spark, sf, "documents"), "doc_id", "text"), _asked(spark, sf), 12)
 
 
-SAID = ["ok please stop using loom", "Turn off loom now", "how do I disable loom hooks?", "so, use loom", "Loom on!", "loom offline"]
+#: Phrases that begin some texts of the tables; fillers go first.
+OFF_HERE, ON_HERE = ["{0}", "is {0}", "la"], ["of", "to", "in", "and the", "das {0}"]
+SAID_SQL = f"""regexp_replace(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+'), ' '), '^(({'|'.join(H.FILLER)})( |$))+', '') || ' '"""
+VERDICT_SQL = "CASE WHEN starts_with(said, 'the ') OR starts_with(said, 'is the ') OR starts_with(said, 'la ') THEN 'off' WHEN starts_with(said, 'of ') OR starts_with(said, 'to ') OR starts_with(said, 'in ') OR starts_with(said, 'and the ') OR starts_with(said, 'das the ') THEN 'on' END"
 
 
-@query("""SELECT event_id, [NULL, 'off', 'off', 'on', 'on', NULL][CASE WHEN event_id % 6 IN (0, 1) THEN 2 WHEN event_id % 6 IN (3, 4) THEN 4 ELSE 1 END] AS verdict, event_id % 6 = 5 AS harness FROM events""")
+@query(f"""WITH d AS (SELECT doc_id, text, {SAID_SQL} AS said FROM documents) SELECT doc_id, {VERDICT_SQL} AS verdict, regexp_matches(coalesce(text, ''), '^\\s*(Er|Un)') AS harness FROM d""")
 def prompt_switches(spark, sf):
-    """Which prompts switch the tool, and which were written by the program around it."""
-    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("event_id") % 6 + 1).cast("int"))
-    return S.table(spark, sf, "events").select("event_id", H.toggle(said, "loom").alias("verdict"), H.from_harness(F.concat(F.lit("\n "), said), ["loom off", "<note"]).alias("harness"))
-
-
-@query("""WITH v AS (SELECT *, CASE event_type WHEN 'error' THEN 'off' WHEN 'signup' THEN 'on' END AS v FROM events)
-SELECT event_id, user_id FROM (SELECT *, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'on') AS state FROM v) WHERE state = 'on'""")
+    """Which texts switch something, and which begin as those of a surrounding program."""
+    text = F.coalesce("text", F.lit(""))
+    return S.table(spark, sf, "documents").select("doc_id", H.toggle(text, "the", OFF_HERE, ON_HERE).alias("verdict"), H.from_harness(text, ["Er", "Un"]).alias("harness"))
+
+
+# What the events stand for as events of sessions; texts are those of the documents.
+FEED = f"""n AS (SELECT count(*) AS n FROM documents), raw AS (
+  SELECT 'p' || user_id % 10 AS project, 's' || user_id AS session_id, event_id, ts,
+    CASE event_type WHEN 'signup' THEN 'session-start' WHEN 'view' THEN 'prompt' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'stop' ELSE ['session-end', 'post-compact', 'record', 'record'][event_id % 4 + 1] END AS event,
+    d.text AS text, CASE WHEN event_id % 3 = 0 THEN 'q' || event_id // 7 END AS prompt_id, 'f' || CAST(round_even(value, 0) AS INTEGER) % 40 AS path, 'r' || event_id % 3 AS reason, CASE WHEN event_id % 64 = 3 THEN 'handoff' ELSE 'note' END AS kind
+  FROM events, n LEFT JOIN documents d ON d.doc_id = event_id % n.n),
+said AS (SELECT *, {SAID_SQL} AS said FROM raw),
+feed AS (SELECT project, session_id, event_id, ts, event, path, reason, kind, prompt_id, CASE WHEN event = 'record' THEN '#' || event_id ELSE regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') END AS text, CASE WHEN event = 'prompt' THEN {VERDICT_SQL} END AS verdict
+  FROM said WHERE event <> 'prompt' OR NOT regexp_matches(coalesce(text, ''), '^\\s*(Er|Un)')),
+base AS (SELECT *, coalesce(last_value(verdict IGNORE NULLS) OVER (PARTITION BY project ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'on') = 'off' AS off
+  FROM feed WHERE event NOT IN ('prompt', 'stop', 'post-compact') OR text <> '')"""
+
+
+def feed(spark, sf):
+    """The tables as events of sessions."""
+    events, docs = S.table(spark, sf, "events"), S.table(spark, sf, "documents")
+    k, kind = F.col("event_id"), F.col("event_type")
+    event = F.when(kind == "signup", "session-start").when(kind == "view", "prompt").when(kind == "click", "edit").when(kind == "purchase", "stop").otherwise(F.element_at(F.array(*map(F.lit, ["session-end", "post-compact", "record", "record"])), (k % 4 + 1).cast("int")))
+    size = docs.agg(F.count("*").alias("n"))  # one row
+    raw = events.crossJoin(F.broadcast(size)).withColumn("doc_id", k % F.col("n")).join(docs.select("doc_id", "text"), "doc_id", "left")
+    raw = raw.select(
+        F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")).alias("project"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), event.alias("event"),
+        F.when(event == "record", F.concat(F.lit("#"), k.cast("string"))).otherwise(F.col("text")).alias("text"), F.when(k % 3 == 0, F.concat(F.lit("q"), F.floor(k / 7).cast("string"))).alias("prompt_id"),
+        F.concat(F.lit("f"), (F.bround("value").cast("int") % 40).cast("string")).alias("path"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("reason"), F.when(k % 64 == 3, "handoff").otherwise("note").alias("kind"),
+    )
+    return sessions.prepared(raw, "the", ["Er", "Un"], clean=lambda text: text, verdict=H.toggle(F.coalesce("text", F.lit("")), "the", OFF_HERE, ON_HERE))
+
+
+@query(f"""WITH {FEED}, e AS (SELECT *, coalesce(count(*) FILTER (event = 'session-end' AND NOT off) OVER b, 0) AS epoch,
+  CASE WHEN event = 'stop' THEN coalesce(prompt_id, last_value(CASE WHEN event = 'prompt' AND NOT off AND verdict IS DISTINCT FROM 'off' THEN prompt_id END IGNORE NULLS) OVER b) ELSE prompt_id END AS pid,
+  (event = 'prompt' AND NOT off AND verdict IS DISTINCT FROM 'off') OR (event = 'stop' AND NOT off) AS say FROM base WINDOW b AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, say AND row_number() OVER (PARTITION BY session_id, event, coalesce(pid, ''), sha1(text), say ORDER BY ts, event_id) = 1 AS turn, event = 'post-compact' AND NOT off AS compact, event = 'session-end' AND NOT off AS ended FROM e),
+c AS (SELECT *, coalesce(count(*) FILTER (compact) OVER b, 0) AS span, coalesce(count(*) FILTER (turn AND event = 'prompt') OVER b, 0) AS users, coalesce(count(*) FILTER (compact OR (event = 'record' AND kind = 'handoff')) OVER b, 0) AS handoffs
+  FROM t WINDOW b AS (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+held AS (SELECT session_id, span, arg_min(event_id, (ts, event_id)) AS lo, arg_max(event_id, (ts, event_id)) AS hi, count(*) AS n FROM c WHERE turn GROUP BY ALL),
+files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, epoch, path ORDER BY ts, event_id) AS k FROM c WHERE event = 'edit' AND NOT off) WHERE k = 1),
+due AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM c WHERE ended AND users > 0 AND handoffs = 0) WHERE k = 1),
+out AS (SELECT session_id, event_id, CASE WHEN off THEN 'is-off' ELSE 'start' END AS action, NULL AS key, NULL AS value FROM c WHERE event = 'session-start'
+UNION ALL SELECT session_id, event_id, verdict, NULL, NULL FROM c WHERE verdict = 'off' OR (verdict = 'on' AND off)
+UNION ALL SELECT session_id, event_id, CASE event WHEN 'prompt' THEN 'user' ELSE 'assistant' END, pid, text FROM c WHERE turn
+UNION ALL SELECT session_id, event_id, 'file', NULL, path FROM files
+UNION ALL SELECT session_id, event_id, 'handoff', 'compact', text FROM c WHERE compact
+UNION ALL SELECT c.session_id, event_id, 'span', lo || '-' || hi, CAST(n AS VARCHAR) FROM c JOIN held USING (session_id, span) WHERE compact
+UNION ALL SELECT session_id, event_id, 'end', reason, NULL FROM c WHERE ended)
+SELECT session_id, event_id, action, key, sha1(value) AS value_sha1 FROM out UNION ALL SELECT session_id, event_id, 'handoff', 'auto', NULL FROM due""")
+def session_flow(spark, sf):
+    """Everything that the events of all sessions lead to; automatic handoffs by when they are due."""
+    found = sessions.replay(feed(spark, sf))
+    digest = F.when(~((F.col("action") == "handoff") & (F.col("key") == "auto")), F.sha1("value"))
+    return found.select("session_id", "event_id", "action", "key", digest.alias("value_sha1"))
+
+
+@query(f"WITH {FEED} SELECT event_id, session_id FROM base WHERE NOT off")
 def switched_on_events(spark, sf):
     """Events that find their project switched on."""
-    verdict = F.when(F.col("event_type") == "error", "off").when(F.col("event_type") == "signup", "on")
-    return H.switched_on(S.table(spark, sf, "events"), verdict, "user_id").select("event_id", "user_id")
+    return sessions.switched(feed(spark, sf)).where("not off").select("event_id", "session_id")
+
+
+@query("""WITH old AS (SELECT user_id AS session_id, min(ts) AS at, 'old' AS title FROM events WHERE event_type = 'view' GROUP BY 1), more AS (SELECT user_id % 200 + 20 * (event_id % 3) AS session_id, ts AS at, event_type AS title FROM events WHERE event_type <> 'view'),
+first AS (SELECT session_id, at, title FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at, title) AS k FROM more) WHERE k = 1)
+SELECT session_id, epoch_us(at) AS started_at, title FROM old UNION ALL SELECT session_id, epoch_us(at), title FROM first WHERE session_id NOT IN (SELECT session_id FROM old)""")
+def session_import(spark, sf):
+    """K9: sessions of another store are added where their id is new."""
+    events = S.table(spark, sf, "events")
+    old = events.where("event_type = 'view'").groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("started_at"), F.lit("old").alias("title"))
+    more = events.where("event_type <> 'view'").select((F.col("user_id") % 200 + 20 * (F.col("event_id") % 3)).alias("session_id"), F.col("ts").alias("started_at"), F.col("event_type").alias("title"))
+    return upsert.add_sessions(old, more).select("session_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_at"), "title")
 
 
-EDITS = "f AS (SELECT user_id AS session_id, 'f' || CAST(round_even(value, 0) AS INTEGER) % 40 AS path, max(ts) AS seen FROM events WHERE event_type = 'click' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seen DESC, path) AS place FROM f)"
+EDITS = "f AS (SELECT user_id AS session_id, 'f' || CAST(round_even(value, 0) AS INTEGER) % 40 AS path, min(ts) AS seen FROM events WHERE event_type = 'click' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seen, path) AS place FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seen DESC, path DESC) AS late FROM f) WHERE late <= 100))"
 
 
 def _touched(spark, sf):
@@ -115,14 +180,14 @@ def _touched(spark, sf):
     return H.touched(edits.select(F.col("user_id").alias("session_id"), F.concat(F.lit("f"), (F.bround("value").cast("int") % 40).cast("string")).alias("path"), "ts"))
 
 
-@query(f"WITH {EDITS} SELECT session_id, path, place FROM p WHERE place <= 100")
+@query(f"WITH {EDITS} SELECT session_id, path, place FROM p")
 def touched_files(spark, sf):
-    """T4: the files each session touched last."""
+    """T4: the files of each session in the order of first touch."""
     return _touched(spark, sf).select("session_id", "path", "place")
 
 
 @query(f"""WITH {EDITS}, e AS (SELECT user_id AS session_id, count(*) FILTER (event_type = 'view') AS n, 'view ' || max(CASE WHEN event_type = 'view' THEN event_id END) AS last FROM events GROUP BY 1),
-s AS (SELECT session_id, count(*) n_files, string_agg(path, ', ' ORDER BY place) FILTER (place <= 8) files FROM p WHERE place <= 100 GROUP BY 1),
+s AS (SELECT session_id, count(*) n_files, string_agg(path, ', ' ORDER BY place) FILTER (place <= 8) files FROM p GROUP BY 1),
 r AS (SELECT session_id, string_agg('#' || event_id, ', ' ORDER BY event_id) labels FROM (SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events WHERE event_type = 'purchase') WHERE k <= 12 GROUP BY 1)
 SELECT session_id, concat_ws(' ', 'Auto-handoff (session ended: unknown; no handoff was written). ' || n || ' prompt(s). Last request: "' || last || '".',
 'Files edited: ' || files || CASE WHEN n_files > 8 THEN ' (+' || (n_files - 8) || ' more).' ELSE '.' END, 'Recorded: ' || labels || '.') AS text FROM e LEFT JOIN s USING (session_id) LEFT JOIN r USING (session_id)

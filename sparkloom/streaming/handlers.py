@@ -1,4 +1,4 @@
-"""What happens at an event, as operators over tables of events."""
+"""What single events say, and batch forms of what a session leaves (P13, P14, T4, T8, M13); the state of sessions is in ``sessions``."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ FILLER = ["ok", "okay", "please", "pls", "now", "hey", "so", "and", "alright", "
 OFF = ["stop using {0}", "disable {0}", "{0} off", "stop {0}", "turn off {0}", "turn {0} off"]
 ON = ["enable {0}", "use {0}", "{0} on", "turn on {0}", "turn {0} on", "start using {0}"]
 
-TOUCHED, LISTED, RECORDED = 100, 8, 12
+# Files that a session keeps, and files and records that a handoff lists.
+FILES_KEPT, FILES_LISTED, RECORDS_LISTED = 100, 8, 12
 
 
 def from_harness(text: Column, prefixes: list[str]) -> Column:
@@ -20,7 +21,7 @@ def from_harness(text: Column, prefixes: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.regexp_replace(text, r"^\s+", ""), p))
 
 
-def toggle(text: Column, name: str) -> Column:
+def toggle(text: Column, name: str, off: list[str] = OFF, on: list[str] = ON) -> Column:
     """P14: 'off' or 'on' if a prompt begins, after filler words, with a switching phrase; else null."""
     said = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)), " ")
     said = F.concat(F.regexp_replace(said, f"^(({'|'.join(FILLER)})( |$))+", ""), F.lit(" "))
@@ -28,21 +29,15 @@ def toggle(text: Column, name: str) -> Column:
     def any_of(phrases: list[str]) -> Column:
         return F.exists(F.array(*[F.lit(p.format(name) + " ") for p in phrases]), lambda p: F.startswith(said, p))
 
-    return F.when(any_of(OFF), "off").when(any_of(ON), "on")
+    return F.when(any_of(off), "off").when(any_of(on), "on")
 
 
-def switched_on(events: DataFrame, verdict: Column, project: str = "project") -> DataFrame:
-    """The events (ts, event_id) that find their project switched on; the switching one counts itself, the start is on."""
-    w = Window.partitionBy(project).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.coalesce(F.last(verdict, True).over(w), F.lit("on"))
-    return events.withColumn("state", state).where("state = 'on'").drop("state")
-
-
-def touched(edits: DataFrame, most: int = TOUCHED) -> DataFrame:
-    """T4: (session_id, path, at, place): the last ``most`` distinct files of a session, place 1 the newest; counted before they are ranked."""
-    last = edits.groupBy("session_id", "path").agg(F.max("ts").alias("at"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("at"), "path")).cast("long")
-    return last.withColumn("place", place).where(F.col("place") <= most)
+def touched(edits: DataFrame, most: int = FILES_KEPT) -> DataFrame:
+    """T4: (session_id, path, at, place): of the files of a session, in the order of first touch, the last ``most``; place 1 is the oldest of these."""
+    first = edits.groupBy("session_id", "path").agg(F.min("ts").alias("at"))
+    own = Window.partitionBy("session_id")
+    late = first.withColumn("_k", F.row_number().over(own.orderBy(F.desc("at"), F.desc("path")))).where(F.col("_k") <= most).drop("_k")
+    return late.withColumn("place", F.row_number().over(own.orderBy("at", "path")).cast("long"))
 
 
 def auto_handoff(ends: DataFrame, prompts: DataFrame, files: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -52,13 +47,13 @@ def auto_handoff(ends: DataFrame, prompts: DataFrame, files: DataFrame, recorded
     ``touched``, recorded (session_id, id, kind, label).
     """
     said = prompts.groupBy("session_id").agg(F.count("*").alias("n"), F.max_by("text", "id").alias("last"))
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= LISTED, F.struct("place", "path")))), lambda x: x["path"])
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= FILES_LISTED, F.struct("place", "path")))), lambda x: x["path"])
     seen = files.groupBy("session_id").agg(F.count("*").alias("n_files"), F.array_join(names, ", ").alias("files"))
-    rest = recorded.where("kind <> 'handoff'").withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("id"))).where(F.col("_k") <= RECORDED)
+    rest = recorded.where("kind <> 'handoff'").withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy("id"))).where(F.col("_k") <= RECORDS_LISTED)
     own = rest.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "label"))), lambda x: x["label"]), ", ").alias("labels"))
     written = recorded.where("kind = 'handoff'").select("session_id")
-    more = F.when(F.col("n_files") > LISTED, F.concat(F.lit(" (+"), F.col("n_files") - LISTED, F.lit(" more)."))).otherwise(".")
-    text = F.concat_ws(
+    more = F.when(F.col("n_files") > FILES_LISTED, F.concat(F.lit(" (+"), F.col("n_files") - FILES_LISTED, F.lit(" more)."))).otherwise(".")
+    text = F.concat_ws(  # fixed output: the sentences of an automatic handoff
         " ",
         F.concat(F.lit("Auto-handoff (session ended: "), F.coalesce("reason", F.lit("unknown")), F.lit("; no handoff was written). "), F.col("n"), F.lit(' prompt(s). Last request: "'), T.truncate(F.col("last"), 200), F.lit('".')),
         F.concat(F.lit("Files edited: "), F.col("files"), more),
