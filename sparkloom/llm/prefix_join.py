@@ -91,7 +91,8 @@ def asked(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
                 number[names[-1]] = len(number)
                 found.append(s["b"].copy())
         m = part.num_rows
-        yield _batch(m, bucket=[home] * m, block=[block] * m, doc_id=part.column(0).cast(pa.int64()), row=part.column(1), n_shingles=sizes, set=names)
+        spread = [-1 - int.from_bytes(name[:8], "little") % buckets for name in part.column(1).to_pylist()]
+        yield _batch(m, bucket=spread, block=[block] * m, doc_id=part.column(0).cast(pa.int64()), row=part.column(1), n_shingles=sizes, set=names)
         if not found:
             return
         lengths = np.array([len(x) for x in found])
@@ -204,11 +205,11 @@ def prefixes(answers: DataFrame, bits: int) -> DataFrame:
 LINKS = "a binary, b binary"
 
 
-def verify(group: Group) -> Iterator[pa.RecordBatch]:
+def forest(group: Group) -> list[tuple[bytes, bytes]]:
     """Links of a spanning forest of a unit; equal labels are linked already."""
     names, label = group["set"], group["label"]
     if len(names) < 2 or len(set(label)) < 2:
-        return
+        return []
     sizes = np.array(group["n"], dtype=np.int64)
     may = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= NUMERATOR * np.maximum(sizes[:, None], sizes[None, :])
     # groups of equal size and prefix; pairs of groups that share a prefix shingle
@@ -223,7 +224,7 @@ def verify(group: Group) -> Iterator[pa.RecordBatch]:
     np.fill_diagonal(may, False)
     use = np.flatnonzero(may.any(axis=1))
     if not len(use):
-        return
+        return []
     sets = [shingles(group["text"][i], WORDS) for i in use]
     assert [len(s) for s in sets] == sizes[use].tolist()
     both = sizes[use][:, None] + sizes[use][None, :]
@@ -243,8 +244,34 @@ def verify(group: Group) -> Iterator[pa.RecordBatch]:
         if a != b:
             parent[max(a, b)] = min(a, b)
             out.append((names[use[i]], names[use[j]]))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+    return out
+
+
+def verify(group: Group) -> Iterator[pa.RecordBatch]:
+    found = forest(group)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+
+OF = "node binary, component binary"
+
+
+def settle(group: Group) -> Iterator[pa.RecordBatch]:
+    """The components of a whole unit: (node, component), the smallest set of each; sets without a link are left out."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in forest(group):
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], names=["node", "component"])
 
 
 def _keyed(members: DataFrame) -> DataFrame:
@@ -260,7 +287,7 @@ def _stars(keyed: DataFrame) -> DataFrame:
 
 
 def _large(members: DataFrame, source: DataFrame) -> DataFrame:
-    """Links among the ``members`` of units that no task can hold."""
+    """(node, component) of the ``members`` of units that no task can hold."""
     reps = members.groupBy("grp").agg(F.min("set").alias("rep"), F.count("*").alias("rows"))
     held = join_one(members.select("grp", "set", "n"), reps, "grp")  # (grp, set, n, rep)
     by_token = _keyed(members).join(held.groupBy("rep").agg(F.count("*").alias("rows")), "rep")
@@ -273,12 +300,28 @@ def _large(members: DataFrame, source: DataFrame) -> DataFrame:
     member = member.select("key", "set", "blocks", F.explode(F.when(mark == F.col("centre"), every).otherwise(F.array(F.pmod(F.xxhash64("set", F.lit(2)), F.col("blocks"))))).alias("block"))
     member = store(member, "large")
     links = store(map_groups(member.select("key", "block", "set", F.col("set").alias("label")).join(source, "set"), ["key", "block"], verify, LINKS), "large-links")
-    of = components(links, "large-edges").withColumnRenamed("node", "set")
-    labelled = member.where("blocks > 1").join(of, "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
+    of = store(components(links, "large-edges"), "large-of")
+    labelled = member.where("blocks > 1").join(of.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     pairs = labelled.join(open_, "key").withColumn("other", F.explode(every)).where("other != block")
     pairs = pairs.select("key", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("block"), "set", "label")
-    return links.unionByName(map_groups(pairs.join(source, "set"), ["key", "block"], verify, LINKS))
+    more = store(map_groups(pairs.join(source, "set"), ["key", "block"], verify, LINKS), "large-more")
+    return components(links.unionByName(more), "large-edges") if more.limit(1).count() else of
+
+
+def _same_id(found: DataFrame, of: DataFrame) -> DataFrame:
+    """``of`` (node, component) with components joined where rows of one doc_id have several sets."""
+    own = found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set").distinct()
+    least = own.groupBy("doc_id").agg(F.min("set").alias("a"), F.count("*").alias("rows")).where("rows > 1")
+    edges = store(join_one(own, least, "doc_id").where("a != set").select("a", F.col("set").alias("b")), "same-id")
+    if not edges.limit(1).count():
+        return of
+    for end in ("a", "b"):
+        edges = edges.join(of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    top = store(components(edges, "id-edges"), "top")
+    up = top.select(F.col("node").alias("component"), F.col("component").alias("_up"))
+    lifted = of.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"))
+    return lifted.unionByName(top.join(of.select("node"), "node", "left_anti"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,20 +335,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     inside = join_one(members.select("grp", F.col("set").alias("b")), in_group, "grp").where("a != b").select("a", "b")
     units = components(store(_stars(_keyed(members)).unionByName(inside), "candidates"), "units").select(F.col("node").alias("set"), F.xxhash64("component").alias("key"))
     open_ = store(members.join(units, "set"), "open")
-    wanted = found.where("n_shingles > 0").join(open_.select("set"), "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
+    wanted = found.where("n_shingles > 0").groupBy("set").agg(F.min("row").alias("row")).join(open_.select("set"), "set", "left_semi")
     text = rows_of(docs, id_col, text_col).select("row", "text").join(wanted.hint("merge"), "row").dropDuplicates(["set"]).select("set", "text")
     source = store(open_.drop("key").join(text, "set"), "texts", "zstd")
     size = store(open_.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("w")), "sizes")
     fits = (F.col("rows") <= BLOCK) & (F.col("w") <= WEIGHT)
     small = open_.select("key", "set").join(size.where(fits).select("key"), "key").select("key", "set", F.col("set").alias("label"))
-    links = map_groups(small.join(source, "set"), ["key"], verify, LINKS)
+    of = map_groups(small.join(source, "set"), ["key"], settle, OF)
     large = size.where(~fits).select("key")
     if large.limit(1).count():
-        links = links.unionByName(_large(open_.join(large, "key").drop("key"), source))
-    own = found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set").distinct()
-    least = own.groupBy("doc_id").agg(F.min("set").alias("a"), F.count("*").alias("rows")).where("rows > 1")
-    same_id = join_one(own, least, "doc_id").where("a != set").select("a", F.col("set").alias("b"))
-    of = components(store(links.unionByName(same_id), "links"), "edges")
+        of = of.unionByName(_large(open_.join(large, "key").drop("key"), source))
+    of = _same_id(found, store(of, "settled"))
     sets = found.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     linked = store(sets.join(of.withColumnRenamed("node", "set"), "set", "left"), "linked")
     ids = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("id"), F.count("*").alias("rows"))
