@@ -218,3 +218,45 @@ def sparkline(values: Column) -> Column:
     most = F.array_max(values)
     height = lambda v: F.when(most > 0, F.bround(7 * v / most)).otherwise(0).cast("int")
     return F.array_join(F.transform(values, lambda v: F.substring(F.lit("▁▂▃▄▅▆▇█"), height(v) + 1, F.lit(1))), "")
+
+
+def callee_name(raw: Column) -> Column:
+    """a called name with dots for all its separators, without blanks; of a longer expression the last name behind a dot; too long ones are null."""
+
+    def named(t: Column) -> Column:
+        tail = F.regexp_replace(F.substring_index(t, ".", -1), r"[^\p{L}\p{N}_$]", "")
+        return F.when((t == "") | (F.length(t) > 80), F.lit(None).cast("string")).when(t.rlike(r"[(\[{<]"), F.when(tail != "", F.concat(F.lit("."), tail))).when(t.startswith("..."), F.regexp_replace(t, r"^\.+", "")).otherwise(t)
+
+    return let(F.regexp_replace(F.regexp_replace(raw, r"::|->|\?\.|\\", "."), r"\s+", ""), named)
+
+
+def line_of(text: Column, pos: Column) -> Column:
+    """the line, from 1, of a place, from 0."""
+    before = F.substring(text, F.lit(1), pos)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def name_terms(name: Column) -> Column:
+    """the significant words of a file name without its extension."""
+    return terms(F.regexp_replace(F.regexp_replace(name, r"(?<=[^/.])\.[^./]*$", ""), "[^A-Za-z0-9_]+", " "))
+
+
+def counted(n: Column, word: str, many: str | None = None) -> Column:
+    """F32: a number with separators and its word."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, word).otherwise(many or word + "s"))
+
+
+def size_text(n: Column) -> Column:
+    """F32: bytes as KB, from a million on as MB."""
+    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit(" MB"))).otherwise(F.concat(F.format_number(n / 1000, 0), F.lit(" KB")))
+
+
+# How a record that does not hold is marked.
+MARKS = {"rejected": " ✗ rejected", "superseded": " (superseded)", "retracted": " (retracted)", "done": " ✓ done", "fixed": " ✓ fixed", "dropped": " (dropped)", "retired": " (retired)"}
+
+
+def hit_line(source: Column, label: Column, status: Column, priority: Column, tag: Column, when: Column, text: Column) -> Column:
+    """A found record, turn, fold or symbol in one line; ``source`` is item, turn, fold or code."""
+    mark = F.coalesce(F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])[status], F.lit(""))
+    own = F.concat(label, mark, F.when(priority, " !critical").otherwise(""), F.lit(" · "), when, F.lit(" · "), F.when(tag != "", F.concat(tag, F.lit(" "))).otherwise(""), text)
+    return F.when(source == "turn", F.concat(label, F.lit(" "), status, F.lit(" · "), when, F.lit(" · "), text)).when(source == "fold", F.concat(label, F.lit(" fold:"), status, F.lit(" · "), when, F.lit(" · "), text)).when(source == "code", F.concat(F.lit("code "), status, F.lit(" "), text)).otherwise(own)

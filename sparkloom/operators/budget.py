@@ -1,4 +1,4 @@
-"""Packing under a budget."""
+"""Packing under a budget."""
 
 from __future__ import annotations
 

@@ -41,7 +41,7 @@ def _one(path: str, lang: str, text: str | None) -> tuple:
     qualnames = {s["qualname"] for s in symbols}
     for s in symbols:
         above = s["qualname"].rpartition(".")[0]
-        s |= {"doc": "", "hash": pyfacts.body_hash(lines, s["line"], s["end_line"]), "parent": above if above in qualnames else None, "decorators": []}
+        s |= {"doc": pyfacts.short(facts.doc_above(lines, s["line"]), pyfacts.DOC), "hash": pyfacts.body_hash(lines, s["line"], s["end_line"]), "parent": above if above in qualnames else None, "decorators": []}
     own = [{"raw": i["raw"], "level": 0, "line": i["line"], "rule": i["rule"], "names": i["names"]} for i in imports.imports_of(path, lang, text)]
     return path, lang, "", len(lines), entry, pyfacts.numbered(symbols), own, calls, bases, [], found[-1] if found else None
 

@@ -321,6 +321,19 @@ def scan(text: str, lang: str) -> tuple[list[dict], list[dict], list[dict], bool
     return symbols, bases, [{"owner": o, "raw": r} for o, r in sorted(calls)], entry
 
 
+def doc_above(lines: list[str], line: int) -> str:
+    """the first words of the comment block that stands right above a line (from 1); annotations between are passed."""
+    said: list[str] = []
+    for above in reversed(lines[: line - 1]):
+        t = above.strip()
+        if t.startswith("@"):
+            continue
+        if not t.startswith(("//", "#", "*", "/*")) or t.startswith(("#include", "#!")):
+            break
+        said.append(t.lstrip("/#* ").rstrip("*/ "))
+    return next((t for t in reversed(said) if t), "")
+
+
 def sections(text: str) -> list[dict]:
     """E5: headings of a Markdown text with those above them, not inside fences."""
     out, above, fenced = [], [], False

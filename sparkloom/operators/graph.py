@@ -141,6 +141,32 @@ def shortest_path(edges: DataFrame, a, b, most: int | None = None) -> list:
     return path[::-1]
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of ``edges`` (src, dst): the smallest node reached.
+
+    Each node is tied to the smallest one that it or its neighbours know, larger and
+    smaller neighbours in turn, until nothing moves; the number of edges never grows.
+    """
+    work = scratch("components")
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    now = cut(edges.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).where("low < high").distinct(), work)
+    mark = None
+    while True:
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if found == mark or not found[0]:
+            break
+        mark = found
+        both = now.select(F.col("low").alias("id"), F.col("high").alias("near")).unionByName(now.select(F.col("high").alias("id"), F.col("low").alias("near")))
+        least = both.groupBy("id").agg(F.min("near").alias("least")).select("id", F.least("id", "least").alias("least"))
+        wide = cut(both.where("near > id").join(least, "id").select(F.col("least").alias("low"), F.col("near").alias("high")).where("low < high").distinct(), work)
+        lowest = wide.groupBy("high").agg(F.min("low").alias("least"))
+        down = wide.join(lowest, "high").where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
+        now = cut(down.unionByName(lowest.select(F.col("least").alias("low"), "high")).distinct(), work)
+    out = ids.join(now.select(F.col("high").alias("id"), "low"), "id", "left").select("id", F.coalesce("low", "id").alias("component"))
+    drop_stored(work, but=now)
+    return out
+
+
 def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """G7-G9 by weighted label propagation: a node takes the label of the greatest weight around it if that is smaller than its own.
 

@@ -1,4 +1,4 @@
-"""The text a new session starts with (M1, M2, A18, A23): sections of records under a budget of characters, one text a project.
+"""The text a new session starts with (M1, M2, A23): sections of records under a budget of characters, one text a project.
 
 A row is taken if it still fits; one that does not is skipped, and a shorter one
 after it may be taken. Of rows of one length in a section only the first

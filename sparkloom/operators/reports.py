@@ -1,4 +1,4 @@
-"""Reports over records, turns and graphs (M3-M5, G13, G15, A20-A24). Only what a report shows is brought together."""
+"""Reports over records, turns and graphs (M3-M5, G13, G15, A21, A23). Only what a report shows is brought together."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Routing of records to projects, nearest neighbours in time, metrics."""
+"""Routing of records to projects, nearest neighbours in time."""
 
 from __future__ import annotations
 
@@ -35,10 +35,3 @@ def scores(rows: DataFrame, projects: DataFrame, min_score: float = 2.0, margin:
     w = Window.partitionBy("id").orderBy(F.desc("score"), "project")
     ranked = s.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
     return ranked.select("id", "project", "score", ((F.col("score") >= min_score) & (F.col("score") >= margin * F.coalesce("second", F.lit(0.0)))).alias("confident"))
-
-
-def nearest_rank(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
-    """The nearest-rank percentile of each group."""
-    w = Window.partitionBy(by)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_i") == F.floor(share * (F.col("_n") - 1)).cast("int")).select(by, F.col(value).alias("p"))

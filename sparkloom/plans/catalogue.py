@@ -476,11 +476,6 @@ def repo_map_tiers(spark, sf):
     return part.join(tiers, "p_brand").withColumn("k", k).where("k <= tier").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), "tier")
 
 
-@query("""SELECT event_type, p FROM (SELECT event_type, value AS p, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)""")
-def eval_metrics(spark, sf):
-    return routing.nearest_rank(S.table(spark, sf, "events"), "event_type", "value", 0.95)
-
-
 def _records(spark, sf):
     return _items(spark, sf).withColumnRenamed("doc_id", "id").withColumn("title", T.derive_title(F.col("text")))
 
@@ -601,7 +596,7 @@ def call_resolution(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import upkeep  # noqa: F401  adds its own
+    from . import project, upkeep  # noqa: F401  they add their own
 
     return dict(_queries)
 
