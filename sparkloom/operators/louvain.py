@@ -143,9 +143,9 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float
     if path is not None:
         found = path.join(found.select(F.col("id").alias("community"), F.col("community").alias("_up")), "community").select("id", F.col("_up").alias("community"))
     least = Window.partitionBy("community")
-    named = cut(found.withColumn("community", F.min("id").over(least)), work)
-    out = every.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
-    drop_stored(work, but=named)
+    named = found.withColumn("community", F.min("id").over(least))
+    out = cut(every.join(named, "id", "left").select("id", F.coalesce("community", "id").alias("community")), work)
+    drop_stored(work, but=out)
     return out
 
 

@@ -16,8 +16,7 @@ Both take a feed (``prepared``, optionally ``with_hits``) and give the same acti
 ====================  =======================================================
 
 ``stream`` keeps a value for each project (switched off or not) and a map entry for
-each session and each kept turn (``transformWithState``, RocksDB); turns and
-sessions that nothing touches for ``ttl`` go.  ``replay`` is built from
+each session and each kept turn (``transformWithState``, RocksDB).  ``replay`` is built from
 windows over sessions; only the few switching prompts of a project are ordered as a
 whole, so a project with most of the events is no single task.
 
@@ -180,8 +179,12 @@ class Sessions(StatefulProcessor):
         return out
 
 
-def stream(feed: DataFrame, ttl: timedelta | None = timedelta(days=30)) -> DataFrame:
-    """The actions of a streaming feed, in append mode."""
+def stream(feed: DataFrame, ttl: timedelta | None = None) -> DataFrame:
+    """The actions of a streaming feed, in append mode.
+
+    With ``ttl``, sessions and turns that nothing touches for so long go; this takes processing
+    time, for queries that run on (one that stops when all is read never ends with it).
+    """
     spark = feed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = feed.withColumn("last", T.truncate(F.col("text"), LAST_REQUEST))
