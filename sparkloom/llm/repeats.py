@@ -20,8 +20,11 @@ Contents are compared by a 64-bit hash beside the 64-bit anchor, which is a hash
 of another part of them; texts of a shard by their bytes.
 
 Defined results: null and empty texts have nothing to remove; texts shorter than a
-window stay; rows with equal doc_id count as one document, in which the place
-decides; a null doc_id is the smallest; other columns do not matter.
+window stay; texts may be of any length (one text must fit in a task); equal rows (of
+doc_id and text) are one text at one place, and neither is a repeat of the other;
+rows of one doc_id with different texts are documents of their own, in the order of
+their digests; a null doc_id is the smallest; an empty table gives an empty table;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
 from .common import store, texts
 from .groups import Group, map_all_groups, map_groups
 from .ppm import _batch
@@ -362,6 +366,20 @@ def _batches(one, groups: Iterator[Group], data: int, rows: int = 4000, size: in
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """One row per document: bytes, bytes and runs removed, and what is kept (its digest always, the bytes when ``keep``)."""
     source = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    name = F.unhex(F.md5("text"))
+    named = store(source.select("doc_id", name.alias("name")).distinct(), "named")
+    if not named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return _without_repeats(source, keep, shard, hot)
+    # texts that share a doc_id: every different one gets a number of its own in the same order
+    numbers = store(numbered(named, [], ["doc_id", "name"], "number"), "numbers")
+    own = source.withColumn("name", name).join(numbers, ["doc_id", "name"]).select(F.col("number").alias("doc_id"), "text")
+    found = _without_repeats(own, keep, shard, hot)
+    back = numbers.select(F.col("number").alias("doc_id"), F.nullif("doc_id", F.lit(NULL_ID)).alias("_id"))
+    return found.join(back, "doc_id").withColumn("doc_id", F.col("_id")).select(*found.columns)
+
+
+def _without_repeats(source: DataFrame, keep: bool, shard: int, hot: int) -> DataFrame:
+    """As ``remove_repeats`` for (doc_id, text) in which one doc_id has one text."""
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, size // (4 << 20))
     cut_up = store(source.mapInArrow(_collect(buckets), MARKS), "segments")
