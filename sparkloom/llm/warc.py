@@ -10,19 +10,24 @@ run that is repeated gives the same ids.
 Defined results: a null body is an empty one, a null URI is empty; each input row
 gives two records, repeated rows too (with equal ids); markup that is not closed
 runs to the end; a charset that is unknown or cannot decode the body counts as
-UTF-8; a chunked body ends where a chunk's size cannot be read, what follows is
+UTF-8, and halves of surrogate pairs become replacement characters, as do numeric
+references of more than seven digits; control characters and blanks in a URI are
+percent-encoded and those in other header values become blanks, so no value ends
+its line; a chunked body ends where a chunk's size cannot be read, what follows is
 kept as it stands; bodies may be of any length, all patterns read each character
-a bounded number of times; an empty table gives an empty table; other columns,
+a bounded number of times; a WARC file that is cut off or malformed is a
+ValueError, its records are read one after another, and one file holds at most 2 GB
+as stored (Spark's limit for a binary value); an empty table gives an empty table; other columns,
 whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from uuid import NAMESPACE_URL, uuid5
 
@@ -43,6 +48,8 @@ _ANCHOR = re.compile(r"<a\b([^>]*+)", re.I)
 _HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]+))", re.I)
 _HTML = re.compile(r"<html\b([^>]*+)", re.I)
 _LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z-]+)", re.I)
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
+_CONTROL = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
 RECORDS = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, refers_to_payload_digest string, headers string, block binary"
 
 
@@ -93,18 +100,26 @@ def _unchunk(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def unescaped(text: str) -> str:
+    """Character references as characters; a number that is no character of Unicode, however long, as U+FFFD."""
+    return entities.unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
+
+
+def header_uri(uri: str) -> str:
+    """A URI as it may stand in a header: control characters and blanks percent-encoded."""
+    return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri)
+
+
 def plain_text(markup: str) -> str:
     """Text of markup without hidden parts: a line for each block, runs of blanks as one."""
     text = _BLOCK.sub("\n", markup)
-    text = _TAG.sub("", text)
-    if "&" in text:
-        text = entities.unescape(text)
+    text = unescaped(_TAG.sub("", text))
     return _LINES.sub("\n", _GAPS.sub(" ", text.replace("\xa0", " "))).strip()
 
 
 def links(markup: str) -> list[str]:
     found = (_HREF.search(x[1]) for x in _ANCHOR.finditer(markup))
-    return [entities.unescape(m[1] or m[2] or m[3] or "").strip() for m in found if m]
+    return [unescaped(m[1] or m[2] or m[3] or "").strip() for m in found if m]
 
 
 def title_of(markup: str) -> str:
@@ -112,15 +127,16 @@ def title_of(markup: str) -> str:
     if not start:
         return ""
     end = _TITLE_END.search(markup, start.end())
-    return " ".join(entities.unescape(markup[start.end() : end.start() if end else None]).split())
+    return " ".join(unescaped(markup[start.end() : end.start() if end else None]).split())
 
 
 def decoded(body: bytes, content_type: str) -> str:
     found = re.search(r"charset\s*+=\s*+\"?([\w-]+)", content_type, re.I)
     try:
-        return body.decode(found[1] if found else "utf-8", "replace")
+        text = body.decode(found[1] if found else "utf-8", "replace")
     except (LookupError, ValueError):  # unknown, or no encoding of texts
         return body.decode("utf-8", "replace")
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # some encodings hold halves of pairs
 
 
 def derive(source_id: str, uri: str, date: str, block: bytes) -> list[tuple]:
@@ -143,11 +159,11 @@ def derive(source_id: str, uri: str, date: str, block: bytes) -> list[tuple]:
         head = {
             "WARC-Type": kind,
             "WARC-Record-ID": own,
-            "WARC-Refers-To": source_id,
-            "WARC-Refers-To-Target-URI": uri,
-            "WARC-Refers-To-Date": date,
-            "WARC-Target-URI": uri,
-            "WARC-Date": date,
+            "WARC-Refers-To": " ".join(source_id.split()),
+            "WARC-Refers-To-Target-URI": header_uri(uri),
+            "WARC-Refers-To-Date": " ".join(date.split()),
+            "WARC-Target-URI": header_uri(uri),
+            "WARC-Date": " ".join(date.split()),
             "WARC-Block-Digest": hashed,
             "WARC-Payload-Digest": hashed,
             "WARC-Source-Payload-Digest": source_digest,
@@ -163,24 +179,48 @@ def serialise(headers: str, block: bytes) -> bytes:
     return headers.encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Records of a WARC file, plain or gzip: (headers, block)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)  # members follow each other
-    out, at = [], 0
+def members(data: bytes) -> Iterator[bytes]:
+    """The parts of a WARC file as stored: the whole if it is plain, else each gzip member unpacked on its own."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a record header is cut off")
-        head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split(CRLF)[1:])}
-        if not head.get("Content-Length", "").isdigit():
-            raise ValueError("a record has no length")
-        size = int(head["Content-Length"])
-        if end + 4 + size > len(data):
-            raise ValueError("a record is cut off")
-        out.append((head, data[end + 4 : end + 4 + size]))
-        at = end + 4 + size + 4
-    return out
+        unpack, parts = zlib.decompressobj(zlib.MAX_WBITS | 16), []
+        while at < len(data) and not unpack.eof:
+            piece = data[at : at + (1 << 16)]
+            try:
+                parts.append(unpack.decompress(piece))
+            except zlib.error as e:
+                raise ValueError(f"a gzip member is damaged: {e}") from e
+            at += len(piece)
+        if not unpack.eof:
+            raise ValueError("a gzip member is cut off")
+        at -= len(unpack.unused_data)
+        yield b"".join(parts)
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a WARC file, plain or gzip, one after another: (headers, block)."""
+    for part in members(data):
+        at = 0
+        while at < len(part):
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                raise ValueError("a record header is cut off")
+            head = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in part[at:end].decode("utf-8", "replace").split(CRLF)[1:])}
+            if not head.get("Content-Length", "").isdecimal() or len(head["Content-Length"]) > 18:
+                raise ValueError("a record has no length")
+            size = int(head["Content-Length"])
+            if end + 4 + size > len(part):
+                raise ValueError("a record is cut off")
+            yield head, part[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
+
+
+def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """All records of a WARC file: (headers, block)."""
+    return list(records(data))
 
 
 RESPONSES = "page_id long, record_id string, target_uri string, warc_date string, block binary"
@@ -199,9 +239,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                found = [(None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI", ""), h.get("WARC-Date", ""), b) for h, b in parse(data.as_py()) if h.get("WARC-Type") == "response"]
-                for at in range(0, len(found), 256):
-                    yield _batch(found[at : at + 256], RESPONSES)
+                held, size = [], 0
+                for h, block in records(data.as_py()):
+                    if h.get("WARC-Type") == "response":
+                        held.append((None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI", ""), h.get("WARC-Date", ""), block))
+                        size += len(block)
+                        if len(held) == 256 or size > 8 << 20:
+                            yield _batch(held, RESPONSES)
+                            held, size = [], 0
+                if held:
+                    yield _batch(held, RESPONSES)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSES)
 
