@@ -110,20 +110,23 @@ def classify(text: str | None, profiles: Profiles, size: int = SIZE) -> tuple[st
     return lang, 1.0 - far / (len(own) * size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, size: int = SIZE, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added; profiles hold ``size`` n-grams a language, so they go with the task."""
+def identify(docs: DataFrame, profiles: Profiles, size: int = SIZE, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the language and its score added; profiles hold ``size`` n-grams a language, so they go with the task.
+
+    Columns with the names of the two, in any case of letters, are replaced.
+    """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     names = docs.columns
     at = names.index(text_col)
-    kept = [n for n in names if n not in ("lang_pred", "score")]
-    schema = StructType([docs.schema[n] for n in kept] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = [n for n in names if n.lower() not in (pred_col.lower(), score_col.lower())]
+    schema = StructType([docs.schema[n] for n in kept] + [StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [classify(x, profiles, size) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(names.index(n)) for n in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"]
+                [*(batch.column(names.index(n)) for n in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, pred_col, score_col]
             )
 
     return docs.mapInArrow(run, schema)
