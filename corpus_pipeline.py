@@ -7,7 +7,9 @@ it kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, minhash, packing, pii
@@ -17,11 +19,30 @@ from sparkloom.storage import scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter (language ``und``); a missing lang is filled with the prediction."""
+    """Drop texts without a letter (language ``und``); a missing lang is filled with the prediction, no other column changes."""
     names = docs.columns
     profiles = language.learn(docs, id_crc() % 4 != 2)
-    found = language.identify(docs, profiles)
-    return found.where(F.col("lang_pred") != language.UND).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    pred, score = unused(docs, "_lang_pred"), unused(docs, "_lang_score")
+    found = language.identify(docs, profiles, pred_col=pred, score_col=score)
+    return found.where(F.col(pred) != language.UND).withColumn("lang", F.coalesce("lang", pred)).select(*names)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A number of 64 bits for each row by doc_id and text; rows that differ in one of them never share it.
+
+    Among billions of rows some hashes meet by chance: rows are counted by hash and by
+    a name of 128 bits, and hashes that several names share are drawn again.
+    """
+    none = F.concat(F.col("doc_id").isNull().cast("string"), F.col("text").isNull().cast("string"), F.lit(":"))
+    name = F.md5(F.concat(none.cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b":"), F.coalesce("text", F.lit("")).cast("binary")))
+    named = store(docs.select(name.alias("name")).distinct(), "row-names")
+    key, key_of = F.xxhash64("name"), F.xxhash64(name)
+    for seed in itertools.count(1):
+        met = named.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key").collect()  # n * n / 2**65 rows are to be expected
+        if not met:
+            return key_of
+        again = [r.key for r in met]
+        key, key_of = (F.when(k.isin(again), F.xxhash64(x, F.lit(seed))).otherwise(k) for k, x in ((key, F.col("name")), (key_of, name)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so a missing or repeated doc_id neither
     hides a copy nor takes other rows along.
     """
-    name = unused(docs, "_key")
-    key = F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
+    name, key = unused(docs, "_key"), row_key(docs)
     found = minhash.near_duplicates(docs.select(key.alias("_key"), "text"), "_key")
     linked = store(found.where(~F.col("kept")).select(F.col("doc_id").alias("_key"), "component_id").distinct(), "linked")
     first = linked.select(F.col("component_id").alias("_key"), "component_id").distinct()  # the smallest key of each group
