@@ -8,8 +8,6 @@ columns, without a shuffle; only ``bounded`` and ``section_chars`` work on rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +42,9 @@ def view(text: Column, head: int = folding.HEAD, tail: int = folding.TAIL, budge
 
     def of_lines(lines: Column) -> Column:
         n = F.size(lines)
-        top = fit(F.transform(F.slice(lines, 1, head), T.cut_line), SHARES[0] * budget, True)
+        top = fit(F.transform(F.slice(lines, 1, head), lambda line: T.cut_line(line)), SHARES[0] * budget, True)
         start = F.greatest(F.least(F.lit(head), n), n - tail)  # lines before the last ones
-        last = F.transform(F.slice(lines, start + 1, F.greatest(n - start, F.lit(0))), T.cut_line)
+        last = F.transform(F.slice(lines, start + 1, F.greatest(n - start, F.lit(0))), lambda line: T.cut_line(line))
         end = F.reverse(fit(F.reverse(last), SHARES[2] * budget, True))
         return T.let(F.struct(top.alias("top"), end.alias("end")), lambda p: assembled(lines, n, p))
 
@@ -89,18 +87,17 @@ def flattened(value: Column) -> Column:
 
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(raw: str | None) -> str:
-            try:
-                return flatten_text(json.loads(raw)) if raw else ""
-            except (ValueError, RecursionError):
-                return ""
+    def one(raw: str | None) -> str:
+        try:
+            return flatten_text(json.loads(raw)) if raw else ""
+        except (ValueError, RecursionError):
+            return ""
 
-        for batch in batches:
-            yield batch.map(one)
+    def run(values):
+        return values.map(one)
 
-    return run(value)
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}  # pandas is imported here only
+    return F.pandas_udf(run, "string")(value)
 
 
 def _field(v: Column, path: str) -> Column:

@@ -14,7 +14,8 @@ BASE = '''"""What this is.
 More."""
 import os, numpy.linalg as la
 from . import helper
-from .shapes import Shape as S, *
+from .shapes import Shape as S
+from .more import *
 
 LIMIT = 3
 limit: int = 4
@@ -64,7 +65,7 @@ def test_python_facts():
     assert by["Box.area"]["hash"] != by["Box.area#2"]["hash"] and by["LIMIT"]["kind"] == "const"
     assert {(c["owner"], c["raw"]) for c in f["calls"]} == {("load", "os.path.join"), ("load", "inner"), ("load", "helper.run"), ("Box.area", "self.check"), ("Box.area", ".area"), ("Box.area", "super"), ("Box.area", "S.factor"), ("", "load"), ("", ".go")}
     assert [(b["qualname"], b["base"]) for b in f["bases"]] == [("Box", "S"), ("Box", "la.Base")]
-    assert [(i["raw"], i["level"], [(n["name"], n["alias"]) for n in i["names"]]) for i in f["imports"]] == [("os", 0, [("*mod", "os")]), ("numpy.linalg", 0, [("*mod", "la")]), ("", 1, [("helper", "helper")]), ("shapes", 1, [("Shape", "S"), ("*", "*")])]
+    assert [(i["raw"], i["level"], [(n["name"], n["alias"]) for n in i["names"]]) for i in f["imports"]] == [("os", 0, [("*mod", "os")]), ("numpy.linalg", 0, [("*mod", "la")]), ("", 1, [("helper", "helper")]), ("shapes", 1, [("Shape", "S")]), ("more", 1, [("*", "*")])]
     assert "path" in f["refs"] and "la" not in f["refs"]
 
 
