@@ -36,14 +36,14 @@ def file_diff(spark, sf):
     return resolve.file_diff(found, known)
 
 
-PLACES = "lower(replace(p_type, ' ', '/')) || '/m' || p_partkey % 50 || CASE WHEN p_partkey % 4 = 0 THEN '.php' ELSE '.rb' END"
+PLACES = "lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '/m' || p_partkey % 50 || CASE WHEN p_partkey % 4 = 0 THEN '.php' ELSE '.rb' END"
 
 
-@query(f"""WITH f AS (SELECT DISTINCT {PLACES} AS path FROM part), i AS (SELECT DISTINCT {PLACES} AS path, CASE p_partkey % 3 WHEN 0 THEN 'm' || p_partkey * 7 % 50 WHEN 1 THEN 'tin/m' || p_partkey % 50 ELSE '../' || lower(string_split(p_type, ' ')[3]) || '/m' || p_partkey % 53 END AS raw, CASE WHEN p_partkey % 3 = 2 THEN 'ruby-rel' ELSE 'ruby' END AS rule FROM part),
-c AS (SELECT i.path, i.raw, f.path AS target, list_sum(list_transform(generate_series(1, 3), lambda n: CASE WHEN list_slice(string_split(i.path, '/'), 1, n) = list_slice(string_split(f.path, '/'), 1, n) THEN 1 ELSE 0 END)) AS shared
+@query(f"""WITH f AS (SELECT DISTINCT {PLACES} AS path FROM part), i AS (SELECT DISTINCT {PLACES} AS path, CASE p_partkey % 3 WHEN 0 THEN 'm' || p_partkey * 7 % 50 WHEN 1 THEN lower(replace(p_brand, '#', '')) || '/m' || p_partkey * 3 % 50 ELSE '../' || lower(replace(p_brand, '#', '')) || '/m' || p_partkey % 53 END AS raw, CASE WHEN p_partkey % 3 = 2 THEN 'ruby-rel' ELSE 'ruby' END AS rule FROM part),
+c AS (SELECT i.path, i.raw, f.path AS target, list_sum(list_transform(generate_series(1, 2), lambda n: CASE WHEN list_slice(string_split(i.path, '/'), 1, n) = list_slice(string_split(f.path, '/'), 1, n) THEN 1 ELSE 0 END)) AS shared
   FROM i JOIN f ON rule = 'ruby' AND f.path <> i.path AND ends_with('/' || regexp_replace(f.path, '\\.[a-z]+$', ''), '/' || raw)),
 n AS (SELECT path, raw, arg_min(target, (-shared, target)) AS target FROM c GROUP BY path, raw),
-r AS (SELECT path, raw, array_to_string(string_split(path, '/')[1:2], '/') || substr(raw, 3) AS base FROM i WHERE rule = 'ruby-rel'),
+r AS (SELECT path, raw, string_split(path, '/')[1] || substr(raw, 3) AS base FROM i WHERE rule = 'ruby-rel'),
 x AS (SELECT path, raw, CASE WHEN base || '.rb' IN (SELECT path FROM f) THEN base || '.rb' WHEN base || '.php' IN (SELECT path FROM f) THEN base || '.php' END AS target FROM r)
 SELECT i.path, i.raw, i.rule, CASE WHEN coalesce(n.target, x.target) IS NOT NULL THEN 'file' WHEN i.rule = 'ruby' THEN 'package' ELSE 'none' END AS how, coalesce(n.target, x.target, CASE WHEN i.rule = 'ruby' THEN string_split(i.raw, '/')[1] END) AS target
 FROM i LEFT JOIN n ON n.path = i.path AND n.raw = i.raw AND i.rule = 'ruby' LEFT JOIN x ON x.path = i.path AND x.raw = i.raw AND i.rule = 'ruby-rel'""")
@@ -51,8 +51,9 @@ def import_rules(spark, sf):
     """Imports by relative paths and by endings of paths, the nearest file first; parts are files."""
     part = S.table(spark, sf, "part")
     key = F.col("p_partkey")
-    path = F.concat(F.lower(F.replace(F.col("p_type"), F.lit(" "), F.lit("/"))), F.lit("/m"), (key % 50).cast("string"), F.when(key % 4 == 0, ".php").otherwise(".rb"))
-    raw = F.when(key % 3 == 0, F.concat(F.lit("m"), (key * 7 % 50).cast("string"))).when(key % 3 == 1, F.concat(F.lit("tin/m"), (key % 50).cast("string"))).otherwise(F.concat(F.lit("../"), F.lower(F.split("p_type", " ")[2]), F.lit("/m"), (key % 53).cast("string")))
+    brand = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
+    path = F.concat(F.lower("p_type"), F.lit("/"), brand, F.lit("/m"), (key % 50).cast("string"), F.when(key % 4 == 0, ".php").otherwise(".rb"))
+    raw = F.when(key % 3 == 0, F.concat(F.lit("m"), (key * 7 % 50).cast("string"))).when(key % 3 == 1, F.concat(brand, F.lit("/m"), (key * 3 % 50).cast("string"))).otherwise(F.concat(F.lit("../"), brand, F.lit("/m"), (key % 53).cast("string")))
     rows = part.select(path.alias("path"), raw.alias("raw"), F.when(key % 3 == 2, "ruby-rel").otherwise("ruby").alias("rule"), F.lit(1).alias("line"), F.array().cast("array<struct<name:string,alias:string>>").alias("names")).distinct()
     return imports.resolve(rows, rows.select("path").distinct()).select("path", "raw", "rule", "how", "target")
 
@@ -172,7 +173,7 @@ def median_price(spark, sf):
 @query("WITH d AS (SELECT l_partkey AS id, count(*) AS degree FROM lineitem GROUP BY 1) SELECT id, degree, (SELECT count(*) FROM d x WHERE x.degree < d.degree) / (SELECT count(*) FROM d) AS below FROM d")
 def degree_rank(spark, sf):
     """How many edges a node has, and the share of nodes with fewer."""
-    edges = S.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    edges = S.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"))
     found = ranks.degrees(edges.select(F.col("src").alias("id")), edges)
     return found.join(ranks.share_below(found, "id", "degree"), "id")
 
@@ -207,7 +208,7 @@ def session_panel(spark, sf):
     return panels.session_panel(sessions, items).select("session_id", "items", "handoff")
 
 
-@query("""WITH s AS (SELECT user_id AS session_id, user_id % 7 AS project, max(ts) AS at FROM events GROUP BY 1, 2) SELECT project, arg_max(session_id, (at, session_id)) AS session_id FROM s WHERE at >= TIMESTAMP '2024-01-30' - INTERVAL 12 HOUR GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id AS session_id, user_id % 7 AS project, max(ts) AS seen FROM events GROUP BY 1, 2) SELECT project, arg_max(session_id, (seen, session_id)) AS session_id FROM s WHERE seen >= TIMESTAMP '2024-01-30' - INTERVAL 12 HOUR GROUP BY 1""")
 def present_sessions(spark, sf):
     """The session of each project that was seen last, if that is not long ago."""
     sessions = S.table(spark, sf, "events").groupBy(F.col("user_id").alias("session_id"), (F.col("user_id") % 7).alias("project")).agg(F.max("ts").alias("last_seen_at"))
@@ -230,12 +231,12 @@ def present_handoffs(spark, sf):
     return panels.present_handoff(items, "project").select("project", "id")
 
 
-@query(r"""WITH n AS (SELECT p_partkey, string_split(p_type, ' ') AS w, p_partkey % 6 AS k FROM part), t AS (SELECT p_partkey, CASE k WHEN 0 THEN w[1] || '::' || w[2] WHEN 1 THEN w[1] || '->' || w[2] || '?.' || w[3] WHEN 2 THEN w[1] || ' . ' || w[2] WHEN 3 THEN 'f(' || w[1] || ').' || w[2] WHEN 4 THEN '...' || w[1] ELSE repeat(w[1], 12) END AS raw FROM n),
+@query(r"""WITH n AS (SELECT p_partkey, [p_type, replace(p_brand, '#', '_'), 'x' || p_size] AS w, p_partkey % 6 AS k FROM part), t AS (SELECT p_partkey, CASE k WHEN 0 THEN w[1] || '::' || w[2] WHEN 1 THEN w[1] || '->' || w[2] || '?.' || w[3] WHEN 2 THEN w[1] || ' . ' || w[2] WHEN 3 THEN 'f(' || w[1] || ').' || w[2] WHEN 4 THEN '...' || w[1] ELSE repeat(w[1], 12) END AS raw FROM n),
 c AS (SELECT p_partkey, regexp_replace(regexp_replace(raw, '::|->|\?\.|\\', '.', 'g'), '\s+', '', 'g') AS t FROM t)
 SELECT p_partkey, CASE WHEN length(t) > 80 THEN NULL WHEN contains(t, '(') THEN '.' || regexp_replace(string_split(t, '.')[-1], '[^\p{L}\p{N}_$]', '', 'g') WHEN starts_with(t, '...') THEN ltrim(t, '.') ELSE t END AS callee FROM c""")
 def callee_names(spark, sf):
     """F26."""
-    w, k = F.split("p_type", " "), F.col("p_partkey") % 6
+    w, k = (F.col("p_type"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")), F.concat(F.lit("x"), F.col("p_size").cast("string"))), F.col("p_partkey") % 6
     raw = F.when(k == 0, F.concat(w[0], F.lit("::"), w[1])).when(k == 1, F.concat(w[0], F.lit("->"), w[1], F.lit("?."), w[2])).when(k == 2, F.concat(w[0], F.lit(" . "), w[1])).when(k == 3, F.concat(F.lit("f("), w[0], F.lit(")."), w[1])).when(k == 4, F.concat(F.lit("..."), w[0])).otherwise(F.repeat(w[0], 12))
     return S.table(spark, sf, "part").select("p_partkey", T.callee_name(raw).alias("callee"))
 

@@ -161,9 +161,9 @@ def switched_on_events(spark, sf):
     return sessions.switched(feed(spark, sf)).where("not off").select("event_id", "session_id")
 
 
-@query("""WITH old AS (SELECT user_id AS session_id, min(ts) AS at, 'old' AS title FROM events WHERE event_type = 'view' GROUP BY 1), more AS (SELECT user_id % 200 + 20 * (event_id % 3) AS session_id, ts AS at, event_type AS title FROM events WHERE event_type <> 'view'),
-first AS (SELECT session_id, at, title FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at, title) AS k FROM more) WHERE k = 1)
-SELECT session_id, epoch_us(at) AS started_at, title FROM old UNION ALL SELECT session_id, epoch_us(at), title FROM first WHERE session_id NOT IN (SELECT session_id FROM old)""")
+@query("""WITH old AS (SELECT user_id AS session_id, min(ts) AS began, 'old' AS title FROM events WHERE event_type = 'view' GROUP BY 1), more AS (SELECT user_id % 200 + 20 * (event_id % 3) AS session_id, ts AS began, event_type AS title FROM events WHERE event_type <> 'view'),
+first AS (SELECT session_id, began, title FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY began, title) AS k FROM more) WHERE k = 1)
+SELECT session_id, epoch_us(began) AS started_at, title FROM old UNION ALL SELECT session_id, epoch_us(began), title FROM first WHERE session_id NOT IN (SELECT session_id FROM old)""")
 def session_import(spark, sf):
     """K9: sessions of another store are added where their id is new."""
     events = S.table(spark, sf, "events")
