@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .functions import text as T
 from .operators import facts, folding, graph, lifecycle, pack, reports, resolve, retrieval
+from .sources.snapshots import Snapshots
 from .sources.tables import STATUSES, live
 
 ITEM = "id long, source string, kind string, status string, priority boolean, text string, title string, superseded_by long, created_at timestamp_ntz"
@@ -41,12 +42,13 @@ class Engine:
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> Engine:
-        return Engine(*[spark.read.parquet(f"{folder}/{n}") for n in ("items", "turns", "folds")])
+        """The tables of the last commit; columns that an older store lacks are null, a newer store is refused."""
+        stored = Snapshots(spark, folder)
+        return Engine(*[stored.read(n, schema) for n, schema in (("items", ITEM), ("turns", TURN), ("folds", FOLD))])
 
-    def save(self, folder: str) -> None:
-        """Write the three tables to a new folder; one that exists is never overwritten."""
-        for n in ("items", "turns", "folds"):
-            getattr(self, n).write.parquet(f"{folder}/{n}")
+    def save(self, folder: str) -> int:
+        """Write the three tables as one commit, which appears at once; the number of the commit. Nothing is overwritten."""
+        return Snapshots(self.items.sparkSession, folder).commit({n: getattr(self, n) for n in ("items", "turns", "folds")})
 
     # reading
     def search(self, query: str, limit: int = 12, kinds: list[str] | None = None, everything: bool = False) -> DataFrame:

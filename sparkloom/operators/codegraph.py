@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..sources.snapshots import Snapshots
 from ..storage import store
-from . import facts, graph, imports, names, pyfacts, resolve
+from . import facts, graph, imports, louvain, names, pyfacts, resolve
 
 STANDARD = sorted(sys.stdlib_module_names)
 SYMBOLS_LISTED = 25  # fixed value: symbols of each sort that a journal entry lists
@@ -140,6 +140,25 @@ def edges(parsed: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     return graph.strongest(every)
 
 
+# --------------------------------------------------------------------- seeds
+# What a focus file, the file of a hit and the hit itself weigh in a personal rank.
+FOCUS, OF_FILE, OF_SYMBOL = 1.0, 0.6, 0.4
+
+
+def seeds(focus: DataFrame, hits: DataFrame) -> DataFrame:
+    """(id, p): teleport weights from focus files (path) and hits (path, qualname, score); a file's own hit has a null qualname.
+
+    A hit gives its file 0.6 of its score over the best score, and the symbol 0.4 of
+    that; weights of one node add up.
+    """
+    best = hits.agg(F.max("score").alias("_top"))  # one row
+    own = hits.crossJoin(F.broadcast(best)).withColumn("p", OF_FILE * F.coalesce(F.try_divide("score", "_top"), F.lit(0.0)))
+    file = own.select(F.concat(F.lit("f:"), "path").alias("id"), "p")
+    symbol = own.where("qualname is not null").select(F.concat(F.lit("s:"), "path", F.lit("::"), "qualname").alias("id"), (OF_SYMBOL * F.col("p")).alias("p"))
+    named = focus.select(F.concat(F.lit("f:"), "path").alias("id")).distinct().withColumn("p", F.lit(FOCUS))
+    return named.unionByName(file).unionByName(symbol).groupBy("id").agg(F.sum("p").alias("p"))
+
+
 # --------------------------------------------------------------------- index
 JOURNAL = "scan long, path string, change string, loc int, added array<string>, changed array<string>, removed array<string>"
 
@@ -214,6 +233,22 @@ class CodeIndex:
         self.ensure_resolved()
         return self.open().read("edges", EDGE)
 
+    def ranks(self) -> DataFrame:
+        """(id, rank, community) of all nodes, stored with the edges they come from."""
+        self.ensure_resolved()
+        snapshots = self.open()
+        source = snapshots.state["tables"]["edges"]
+        if snapshots.meta.get("ranks_of") != source:
+            found = snapshots.read("edges", EDGE)
+            of = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            kind = F.when(F.col("id").startswith("f:"), "file").when(F.col("id").startswith("d:"), "dir").when(F.col("id").startswith("x:"), "package")
+            declared = symbols(snapshots.read("facts", f"{pyfacts.FACTS}, hash string")).select(F.concat(F.lit("s:"), "path", F.lit("::"), "qualname").alias("id"), F.col("kind").alias("_kind"))
+            nodes = store(of.join(declared, "id", "left").select("id", F.coalesce(kind, "_kind").alias("kind")), "nodes")
+            rank = graph.pagerank(nodes, graph.structural(found))
+            part = louvain.file_communities(nodes, found)
+            snapshots.commit({"ranks": nodes.select("id").join(rank, "id", "left").join(part, "id", "left")}, {"ranks_of": source})
+        return self.open().read("ranks", "id string, rank double, community string")
+
     def follow(self, changes: DataFrame, checkpoint: str):
         """T11 as a stream: (path, text) of changed files, a null text for one that is gone; each micro-batch is one commit."""
 

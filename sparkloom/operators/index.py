@@ -1,12 +1,18 @@
 """A stored inverted index and search over it by word beginnings.
 
-``build`` writes the postings once; a search reads only the postings of its terms,
-no document.  Letters lose their accents, so that a word is found without them.
+``build`` writes the postings in order of their terms, the dictionary and one row of
+statistics; a search reads the dictionary, the statistics and those parts of the
+postings whose range of terms a word can begin, and no document.  Letters lose their accents,
+so that a word is found without them.
+
+Defined results: null and empty texts count as documents without words; of an id on several
+rows the words are those of all of them; a query without words finds nothing.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,35 +33,62 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(plain(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def build(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings (id, term, tf, dl), stored in order of terms, so that a search skips what it does not need; a document without words has the term ''."""
+#: For so many words the ranges of their terms are pushed into the scan of the postings.
+PUSHED = 64
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (id, term, tf, dl), terms (term, df), stats (n_docs, avg_dl): one row; a document without words has the term ''."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
+    """The index of (id, text), stored."""
     split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     one = split.select("id", F.size("w").cast("long").alias("dl"), F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("")))).alias("term"))
     counted = one.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return store(counted.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings")
+    return of_postings(store(counted.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings"))
 
 
-def stats(index: DataFrame) -> DataFrame:
-    """One row: the number of documents and their mean length; every posting of a document adds its tf."""
-    return index.agg(F.countDistinct("id").alias("n_docs"), F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("_all")).select("n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_dl"))
+def of_postings(postings: DataFrame) -> Index:
+    """The index of stored postings: their dictionary and statistics are stored too."""
+    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    stats = postings.agg(F.countDistinct("id").alias("n_docs"), F.sum(F.when(F.col("term") != "", F.col("tf")).otherwise(0)).alias("_all"))
+    stats = stats.select("n_docs", F.try_divide("_all", "n_docs").alias("avg_dl"))
+    return Index(postings, store(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms"), store(stats, "stats"))
 
 
-def expand(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """(word, term): the terms that begin with a word. Equal beginnings are joined, cut at the lengths that the words have."""
+def expand(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """R2: (word, term): the terms that begin with a word. Equal beginnings are joined, cut at the lengths that the words have."""
     sizes = asked.agg(F.collect_set(F.length("word")).alias("sizes"))  # one row, an entry a length
     cuts = F.transform(F.filter("sizes", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    begun = index.select("term").distinct().crossJoin(F.broadcast(sizes)).select("term", F.explode(cuts).alias("word"))
+    begun = terms.select("term").crossJoin(F.broadcast(sizes)).select("term", F.explode(cuts).alias("word"))
     return begun.join(asked.select("word").distinct(), "word")
 
 
-def search(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def _ranges(asked: DataFrame) -> Column:
+    """What a term must satisfy to begin with one of a few words, as ranges that a scan of sorted files can skip by."""
+    found = [r.word for r in asked.select("word").distinct().limit(PUSHED + 1).collect()]
+    if not found or len(found) > PUSHED:
+        return F.lit(True)
+    out = F.lit(False)
+    for w in found:
+        out = out | ((F.col("term") >= w) & (F.col("term") <= w + chr(0x10FFFF)))
+    return out
+
+
+def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """Documents with all words of a query first, then those with some, each by BM25; a word stands for all terms that begin with it."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = index.join(expand(index, asked), "term").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    hits = index.postings.where(_ranges(asked)).join(expand(index.terms, asked), "term").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     hits = store(hits, "hits")
     df = hits.groupBy("word").agg(F.count("*").alias("df"))
-    one = hits.join(df, "word").crossJoin(F.broadcast(stats(index)))  # one row
+    one = hits.join(df, "word").crossJoin(F.broadcast(index.stats))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     found = one.select("id", "word", s.alias("s")).join(asked, "word").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("matched"))
@@ -63,6 +96,6 @@ def search(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return top(ranked, limit, F.col("pass"), F.desc("score"), F.col("id")).select("query_id", "id", "score", "pass", F.col("rank").cast("long").alias("rank"))
 
 
-def having(index: DataFrame, word: str) -> DataFrame:
+def having(index: Index, word: str) -> DataFrame:
     """The ids of the documents with a word."""
-    return index.where(F.col("term") == plain(F.lit(word))).select("id")
+    return index.postings.where(F.col("term") == plain(F.lit(word))).select("id")

@@ -194,6 +194,24 @@ def test_changes_as_a_stream(spark, tmp_path):
     assert edge_set(index.edges()) == edge_set(codegraph.edges(codegraph.parse(sources(spark, now))))
 
 
+def test_seeds(spark):
+    focus = spark.createDataFrame([("a.py",), ("a.py",), ("b.py",)], "path string")
+    hits = spark.createDataFrame([("a.py", "f", 4.0), ("c.py", None, 2.0), ("c.py", "g", 1.0)], "path string, qualname string, score double")
+    found = {r.id: round(r.p, 6) for r in codegraph.seeds(focus, hits).collect()}
+    assert found == {"f:a.py": 1.6, "f:b.py": 1.0, "s:a.py::f": 0.24, "f:c.py": 0.45, "s:c.py::g": 0.06}
+    assert codegraph.seeds(focus.limit(0), hits.limit(0)).collect() == []
+
+
+def test_ranks_are_stored_with_their_edges(spark, tmp_path):
+    index = CodeIndex(spark, str(tmp_path / "index"))
+    index.touch(sources(spark, {"a.py": "import b\n", "b.py": "def f():\n    return 1\n", "c.py": "import b\nb.f()\n"}))
+    found = {r.id: r for r in index.ranks().collect()}
+    assert abs(sum(r.rank for r in found.values()) - 1) < 1e-6 and found["f:b.py"].rank > found["f:a.py"].rank
+    assert found["s:b.py::f"].community == found["f:b.py"].community and found["d:."].community is None
+    at = index.open().at
+    assert index.ranks().count() == len(found) and index.open().at == at
+
+
 def test_an_empty_index(spark, tmp_path):
     index = CodeIndex(spark, str(tmp_path / "index"))
     assert index.facts().collect() == [] and index.sync(sources(spark, {}).limit(0))["changed"] == 0
