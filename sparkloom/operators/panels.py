@@ -55,7 +55,7 @@ def log_entries(spark: SparkSession, path: str) -> DataFrame:
     """(at, event, last): the entries of error logs, each after a line of three dashes, with their last line that is not blank; a bad moment is null."""
     raw = spark.read.text(path, lineSep="--- ").select(F.col("value").alias("entry")).where(F.trim("entry") != "")
     head = F.split(F.element_at(F.split(F.trim("entry"), "\n"), 1), " ")
-    lines = F.filter(F.transform(F.split("entry", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("entry", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return raw.select(F.try_to_timestamp(F.get(head, 0), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at"), F.get(head, 1).alias("event"), F.get(lines, F.size(lines) - 1).alias("last"))
 
 
