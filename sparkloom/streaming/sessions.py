@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
+from ..storage import store
 from .handlers import FILES_LISTED, FILES_KEPT, RECORDS_LISTED, from_harness, toggle
 
 EVENT = "project string, session_id string, event_id long, ts timestamp, event string, text string, prompt_id string, path string, reason string, kind string"
@@ -254,6 +255,7 @@ def replay(feed: DataFrame) -> DataFrame:
         "handoffs": F.coalesce(F.count_if(compact | ((event == "record") & (F.col("kind") == "handoff"))).over(before), F.lit(0)),
         "request": F.last(F.when(user, F.col("text")), True).over(before),
     })
+    base = store(base, "sessions")  # every action below reads it
 
     def of(rows: DataFrame, action: Column | str, key: Column | str | None = None, value: Column | str | None = None) -> DataFrame:
         name = F.lit(action) if isinstance(action, str) else action
