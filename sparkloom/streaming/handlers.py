@@ -26,10 +26,10 @@ def toggle(text: Column, name: str, off: list[str] = OFF, on: list[str] = ON) ->
     said = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)), " ")
     said = F.concat(F.regexp_replace(said, f"^(({'|'.join(FILLER)})( |$))+", ""), F.lit(" "))
 
-    def any_of(phrases: list[str]) -> Column:
-        return F.exists(F.array(*[F.lit(p.format(name) + " ") for p in phrases]), lambda p: F.startswith(said, p))
+    def any_of(begun: Column, phrases: list[str]) -> Column:
+        return F.exists(F.array(*[F.lit(p.format(name) + " ") for p in phrases]), lambda p: F.startswith(begun, p))
 
-    return F.when(any_of(off), "off").when(any_of(on), "on")
+    return T.let(said, lambda begun: F.when(any_of(begun, off), "off").when(any_of(begun, on), "on"))
 
 
 def touched(edits: DataFrame, most: int = FILES_KEPT) -> DataFrame:

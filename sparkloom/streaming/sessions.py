@@ -48,19 +48,28 @@ _AT = ["ts", "event_id"]
 
 
 # ----------------------------------------------------------------------- feed
-def prepared(events: DataFrame, name: str, prefixes: list[str] = (), clean: Callable[[Column], Column] = T.redact, capture_replies: bool = True, verdict: Column | None = None) -> DataFrame:
-    """The events that do something, with cleaned texts and what they switch; no state is needed, so it runs on a stream."""
-    text = F.regexp_replace(clean(F.coalesce("text", F.lit(""))), r"^\s+|\s+$", "")
+def facts(text: Column, name: str, prefixes: list[str] = (), clean: Callable[[Column], Column] = T.redact, verdict: Column | None = None) -> dict[str, Column]:
+    """What ``known`` takes of a text: cleaned, its hash, what it switches, and whether the surrounding program wrote it."""
+    text = F.coalesce(text, F.lit(""))
+    cleaned = F.regexp_replace(clean(text), r"^\s+|\s+$", "")
+    found = toggle(text, name) if verdict is None else verdict
+    return {"text": cleaned, "hash": F.sha1(cleaned), "verdict": found, "outside": from_harness(text, list(prefixes)) if prefixes else F.lit(False)}
+
+
+def known(events: DataFrame, capture_replies: bool = True) -> DataFrame:
+    """The events that do something, of events whose ``facts`` are there; where many events share a text, these are found once a text, before the join."""
     said = F.col("event") == "prompt"
-    rows = events.where(F.col("event").isin(EVENTS))
-    if prefixes:
-        rows = rows.where(~said | ~from_harness(F.coalesce("text", F.lit("")), list(prefixes)))
+    rows = events.where(F.col("event").isin(EVENTS)).where(~said | ~F.coalesce("outside", F.lit(False)))
     if not capture_replies:
         rows = rows.where("event <> 'stop'")
-    found = toggle(F.coalesce("text", F.lit("")), name) if verdict is None else verdict
-    rows = rows.select(*[c.split()[0] for c in EVENT.split(", ") if not c.startswith("text")], text.alias("text"), F.when(said, found).alias("verdict"))
+    rows = rows.select(*[c.split()[0] for c in EVENT.split(", ") if not c.startswith("text")], F.coalesce("text", F.lit("")).alias("text"), F.when(said, F.col("verdict")).alias("verdict"), "hash")
     rows = rows.where(~F.col("event").isin("prompt", "stop", "post-compact") | (F.col("text") != "")).where((F.col("event") != "edit") | (F.trim(F.coalesce("path", F.lit(""))) != ""))
-    return rows.select("*", F.sha1("text").alias("hash"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("size"))
+    return rows.select("*", F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("size"))
+
+
+def prepared(events: DataFrame, name: str, prefixes: list[str] = (), clean: Callable[[Column], Column] = T.redact, capture_replies: bool = True, verdict: Column | None = None) -> DataFrame:
+    """The events that do something, with cleaned texts and what they switch; no state is needed, so it runs on a stream."""
+    return known(events.withColumns(facts(F.col("text"), name, prefixes, clean, verdict)), capture_replies)
 
 
 def with_hits(feed: DataFrame, guarded: DataFrame) -> DataFrame:
