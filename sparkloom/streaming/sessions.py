@@ -205,17 +205,19 @@ def stream(feed: DataFrame, ttl: timedelta | None = None) -> DataFrame:
 def switched(base: DataFrame) -> DataFrame:
     """The events with ``off``: whether their project was switched off before them.
 
-    Switching prompts are few; each holds until the next one, and meets the events of
-    its days only, so no task sorts or scans a whole project.
+    A project's events are ordered by minutes; what a minute finds comes from the last switching
+    prompt before it, over one row a minute.  So no task sorts or scans a whole project, and no event
+    meets more than one row, however often a project is switched.
     """
-    flips = base.where(F.col("verdict").isNotNull()).select("project", "verdict", F.struct(*_AT).alias("_from"))
-    flips = flips.withColumn("_to", F.lead("_from").over(Window.partitionBy("project").orderBy("_from")))
-    end = base.agg(F.max(F.to_date("ts")).alias("_end"))  # one row
-    days = F.sequence(F.to_date("_from.ts"), F.coalesce(F.to_date("_to.ts"), F.col("_end")))
-    held = flips.crossJoin(F.broadcast(end)).select(F.col("project").alias("_project"), F.explode(days).alias("_day"), "verdict", "_from", "_to").withColumnRenamed("verdict", "_verdict")
-    me = F.struct(*_AT)
-    on = F.col("project").eqNullSafe(F.col("_project")) & (F.to_date("ts") == F.col("_day")) & (F.col("_from") < me) & (F.col("_to").isNull() | (F.col("_to") >= me))
-    return base.join(held, on, "left").withColumn("off", F.coalesce(F.col("_verdict") == "off", F.lit(False))).drop("_project", "_day", "_verdict", "_from", "_to")
+    at = F.struct(*_AT)
+    rows = base.withColumns({"_minute": F.date_trunc("minute", "ts"), "_said": F.when(F.col("ts").isNotNull(), F.col("verdict"))})
+    last = rows.where(F.col("ts").isNotNull()).groupBy("project", "_minute").agg(F.max_by("_said", F.when(F.col("_said").isNotNull(), at)).alias("_last"))
+    before = Window.partitionBy("project").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    found = last.select("project", "_minute", F.last("_last", True).over(before).alias("_said")).where(F.col("_said").isNotNull())
+    both = rows.withColumn("_event", F.lit(1)).unionByName(found.withColumn("_event", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("project", "_minute").orderBy("_event", *_AT).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.last("_said", True).over(so_far) == "off", F.lit(False))
+    return both.withColumn("off", off).where("_event = 1").select(*base.columns, "off")
 
 
 def _guards(hits: DataFrame, prompts: DataFrame) -> DataFrame:
