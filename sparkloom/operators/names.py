@@ -129,20 +129,22 @@ def _by_name(symbols: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def _pick(asked: DataFrame, meanings: DataFrame, imported: DataFrame, key: list[str], own: bool) -> DataFrame:
-    """Meanings of ``name`` near the asking file (imported, or ``own``) and elsewhere, if they are few: (key, near, n, to_path, to_name).
+    """Up to FAN_OUT meanings of ``name`` near the asking file (imported, or ``own``), and where none is near, elsewhere: (key, near, n, to_path, to_name).
 
-    How often a name occurs at all is known from a count by name; meanings in
-    imported files are joined over the imports, so a frequent name is never
-    joined with all its meanings.
+    How many meanings a name has, in a file and at all, is counted first; a name with more
+    than FAN_OUT of them meets their counts only, never the meanings.
     """
     reach = imported.select("path", "to_path").distinct()
     if own:
         reach = reach.unionByName(asked.select("path", F.col("path").alias("to_path")).distinct()).distinct()
-    close = asked.select(*dict.fromkeys([*key, "path", "name"])).join(reach, "path").join(meanings, ["to_path", "name"]).select(*key, "to_path", "to_name")
-    close = cut(close.withColumns({"n": F.count("*").over(Window.partitionBy(*key)), "near": F.lit(True)}))
+    counts = meanings.groupBy("to_path", "name").agg(F.count("*").alias("_n"))
+    met = asked.select(*dict.fromkeys([*key, "path", "name"])).join(reach, "path").join(counts, ["to_path", "name"])
+    close = cut(met.groupBy(*dict.fromkeys([*key, "name"])).agg(F.sum("_n").alias("n"), F.when(F.sum("_n") <= FAN_OUT, F.collect_list("to_path")).alias("_in")))
+    rare = meanings.join(counts.where(F.col("_n") <= FAN_OUT).select("to_path", "name"), ["to_path", "name"], "left_semi")
+    near = close.where(F.col("n") <= FAN_OUT).withColumn("to_path", F.explode("_in")).join(rare, ["to_path", "name"]).select(*key, "to_path", "to_name", "n", F.lit(True).alias("near"))
     few = meanings.join(meanings.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= FAN_OUT), "name")
     far = asked.select(*key, "name").join(few, "name").join(close.select(*key).distinct(), key, "left_anti").select(*key, "to_path", "to_name", "n", F.lit(False).alias("near"))
-    return close.unionByName(far)
+    return near.unionByName(far)
 
 
 def types(asked: DataFrame, symbols: DataFrame, aliases: DataFrame) -> DataFrame:
