@@ -28,8 +28,14 @@ def structural(edges: DataFrame) -> DataFrame:
     w, k = F.coalesce("weight", F.lit(1.0)), table[F.col("kind")]
     there = F.when(F.col("kind") == "contains", 0.5 * w).when(F.col("kind") == "co_change", 0.4 * w).otherwise(k * w)
     back = F.when(F.col("kind") == "contains", 0.25 * w).when(F.col("kind") == "co_change", 0.4 * w).otherwise(0.08 * k * w)
-    both = F.array(F.struct(F.col("src").alias("s"), F.col("dst").alias("d"), there.alias("w")), F.struct(F.col("dst").alias("s"), F.col("src").alias("d"), back.alias("w")))
-    return edges.where(k.isNotNull()).select(F.explode(both).alias("e")).groupBy(F.col("e.s").alias("src"), F.col("e.d").alias("dst")).agg(F.sum("e.w").alias("weight"))
+    # the two directions of a pair share a row until their edges are summed; a null end comes first
+    ahead = F.coalesce(F.col("src") <= F.col("dst"), F.col("src").isNull())
+    low, high = F.when(ahead, F.col("src")).otherwise(F.col("dst")), F.when(ahead, F.col("dst")).otherwise(F.col("src"))
+    pairs = edges.where(k.isNotNull()).select(low.alias("a"), high.alias("b"), F.when(ahead, there).otherwise(back).alias("ab"), F.when(ahead, back).otherwise(there).alias("ba"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba"))
+    one, other = (F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), w.alias("weight")) for s, d, w in (("a", "b", F.col("ab")), ("b", "a", F.col("ba"))))
+    loop = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("ab") + F.col("ba")).alias("weight")))
+    return pairs.select(F.explode(F.when(F.col("a").eqNullSafe(F.col("b")), loop).otherwise(F.array(one, other))).alias("e")).select("e.src", "e.dst", "e.weight")
 
 
 def strongest(edges: DataFrame) -> DataFrame:
