@@ -40,6 +40,17 @@ def reciprocal_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("query_id").distinct().join(best, "query_id", "left").agg(F.coalesce(F.avg(F.coalesce("_r", F.lit(0.0))), F.lit(0.0)).alias("value"))
 
 
+def best_place(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, id, rank) of each query with ``hits`` (query_id, id, score): its first expected id by score, then id, and how far down it is; null where none is found.
+
+    What stands before it is counted, so no task sorts the hits of a query.
+    """
+    place = F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))
+    best = hits.join(expected, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min(place).alias("_best"))
+    found = hits.join(F.broadcast(best), "query_id", "left")  # a row a query
+    return found.groupBy("query_id", F.col("_best.id").alias("id")).agg(F.when(F.max(F.col("_best").isNotNull()), F.count_if(place < F.col("_best")) + 1).alias("rank"))
+
+
 def gain_at(hits: DataFrame, graded: DataFrame, k: int = 10) -> DataFrame:
     """One row (value): the mean normalised discounted gain of the first ``k`` hits, for ``graded`` (query_id, id, grade)."""
     discount = F.log2(F.col("rank") + 1.0)

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import codegraph, evaluation, folding, imports, louvain, names, panels, ranks, resolve, retrieval, toolfolds
 from ..operators.graph import KIND_WEIGHT
 from ..sources import tables as S
+from ..storage import store
 from .catalogue import ASKED, ITEMS, TERMS, _asked, _bm25_sql, _items, query
 
 # ------------------------------------------------------------------ code facts
@@ -188,9 +189,10 @@ def retrieval_metrics(spark, sf):
     """How well ranked search finds the documents that share most terms with a query."""
     docs, asked = S.table(spark, sf, "documents"), _asked(spark, sf)
     hits = retrieval.bm25(docs, asked, "doc_id", "text")
-    ranked = retrieval.top(hits, 1 << 30, F.desc("score"), F.col("id")).select("query_id", "id", "rank")
-    expected = retrieval.similar(docs.select(F.col("doc_id").alias("id"), "text"), asked, 2, 0.8).select("query_id", "id")
-    each = {"recall_at_3": evaluation.recall_at(ranked, expected), "mean_reciprocal_rank": evaluation.reciprocal_rank(ranked, expected), "abstain_rate": evaluation.abstained(hits, asked)}
+    expected = store(retrieval.similar(docs.select(F.col("doc_id").alias("id"), "text"), asked, 2, 0.8).select("query_id", "id"), "expected")
+    placed = store(evaluation.best_place(hits, expected), "placed")
+    ranked = placed.where("rank is not null")
+    each = {"recall_at_3": evaluation.recall_at(ranked, expected), "mean_reciprocal_rank": evaluation.reciprocal_rank(ranked, expected), "abstain_rate": evaluation.abstained(placed, asked)}
     rows = None
     for name, value in each.items():
         one = value.select(F.lit(name).alias("metric"), F.round("value", 6).alias("value"))
