@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import store
-from .retrieval import K1, B, top
+from .retrieval import scored, top
 
 _PAIRS = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
@@ -85,14 +85,10 @@ def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """Documents with all words of a query first, then those with some, each by BM25; a word stands for all terms that begin with it."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = index.postings.where(_ranges(asked)).join(expand(index.terms, asked), "term").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    hits = store(hits, "hits")
-    df = hits.groupBy("word").agg(F.count("*").alias("df"))
-    one = hits.join(df, "word").crossJoin(F.broadcast(index.stats))  # one row
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    found = one.select("id", "word", s.alias("s")).join(asked, "word").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("matched"))
-    ranked = found.join(size, "query_id").withColumn("pass", F.when(F.col("matched") == F.col("n"), 0).otherwise(1).cast("long"))
+    hits = index.postings.where(_ranges(asked)).join(F.broadcast(expand(index.terms, asked)), "term").repartition("id").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    df = hits.groupBy("word").agg(F.count(F.col("tf") + F.col("dl")).alias("df"))  # never null; reads what the scores read, so both share one shuffle
+    found = scored(hits, df, index.stats, asked, "word")
+    ranked = found.join(F.broadcast(size), "query_id").withColumn("pass", F.when(F.col("matched") == F.col("n"), 0).otherwise(1).cast("long"))
     return top(ranked, limit, F.col("pass"), F.desc("score"), F.col("id")).select("query_id", "id", "score", "pass", F.col("rank").cast("long").alias("rank"))
 
 
