@@ -25,13 +25,21 @@ def within(rows: DataFrame, starts: DataFrame, by: str, ts: str, seconds: int) -
     return rows.join(starts, by).where(F.abs(F.unix_timestamp(ts) - F.unix_timestamp("start")) <= seconds)
 
 
+def _terms(rows: DataFrame, key: str) -> DataFrame:
+    """(key, term); explode_outer, as Spark would split each text twice to leave out those without terms before explode."""
+    return rows.select(key, F.explode_outer(T.terms(F.col("text"))).alias("term")).where("term is not null")
+
+
 def scores(rows: DataFrame, projects: DataFrame, min_score: float = 2.0, margin: float = 1.5) -> DataFrame:
-    """Rows (id, text) against projects (project, text) by shared terms over the number of projects that have them."""
-    own = projects.select("project", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("project", "term").agg(F.count("*").alias("n"))
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = own.join(df, "term").select("project", "term", (F.when(F.col("n") == 1, 0.4).when(F.col("n") == 2, 0.7).otherwise(1.0) / F.col("df")).alias("w"))
-    asked = rows.select("id", F.explode(T.terms(F.col("text"))).alias("term"))
-    s = asked.join(weighed, "term").groupBy("id", "project").agg(F.round(F.sum("w"), 6).alias("score"))
+    """Rows (id, text) against projects (project, text) by shared terms over the number of projects that have them.
+
+    A term is one row with its projects, so rows meet a term once, and texts are split once.
+    """
+    own = _terms(projects, "project").groupBy("term", "project").agg(F.count("*").alias("n"))
+    held = own.groupBy("term").agg(F.collect_list(F.struct("project", "n")).alias("own"))  # at most an entry a project
+    pairs = _terms(rows, "id").join(held, "term").select("id", F.size("own").alias("df"), F.inline("own"))
+    weight = F.when(F.col("n") == 1, 0.4).when(F.col("n") == 2, 0.7).otherwise(1.0) / F.col("df")
+    s = pairs.groupBy("id", "project").agg(F.round(F.sum(weight), 6).alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "project")
     ranked = s.withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("rank = 1")
     return ranked.select("id", "project", "score", ((F.col("score") >= min_score) & (F.col("score") >= margin * F.coalesce("second", F.lit(0.0)))).alias("confident"))
