@@ -1,9 +1,10 @@
 """A stored inverted index and search over it by word beginnings.
 
-``build`` writes the postings in order of their terms, the dictionary and one row of
-statistics; a search reads the dictionary, the statistics and those parts of the
-postings whose range of terms a word can begin, and no document.  Letters lose their accents,
-so that a word is found without them.
+``build`` writes the postings, each file in order of its terms, the dictionary and one row of
+statistics; a search reads the statistics and those parts of the postings whose range of
+terms a word can begin, and no document.  Only what is as large as the queries goes to every
+task: the dictionary grows with the documents, so terms are expanded where their postings are
+read.  Letters lose their accents, so that a word is found without them.
 
 Defined results: null and empty texts count as documents without words; of an id on several
 rows the words are those of all of them; a query without words finds nothing.
@@ -47,11 +48,11 @@ class Index:
 
 
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    """The index of (id, text), stored."""
-    split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+    """The index of (id, text), stored. Texts are shuffled, once; words and counts of a document stay in its task."""
+    split = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id").select("id", words(F.col("text")).alias("w"))
     one = split.select("id", F.size("w").cast("long").alias("dl"), F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("")))).alias("term"))
     counted = one.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return of_postings(store(counted.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings"))
+    return of_postings(store(counted.sortWithinPartitions("term"), "postings", "zstd"))
 
 
 def of_postings(postings: DataFrame) -> Index:
@@ -63,11 +64,17 @@ def of_postings(postings: DataFrame) -> Index:
 
 
 def expand(terms: DataFrame, asked: DataFrame) -> DataFrame:
-    """R2: (word, term): the terms that begin with a word. Equal beginnings are joined, cut at the lengths that the words have."""
+    """R2: the rows of ``terms`` (term, ...) once for each word that begins their term. Equal beginnings are joined, cut at the lengths that the words have."""
     sizes = asked.agg(F.collect_set(F.length("word")).alias("sizes"))  # one row, an entry a length
-    cuts = F.transform(F.filter("sizes", lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    begun = terms.select("term").crossJoin(F.broadcast(sizes)).select("term", F.explode(cuts).alias("word"))
-    return begun.join(asked.select("word").distinct(), "word")
+    cuts = terms.crossJoin(F.broadcast(sizes)).withColumn("_n", F.explode("sizes")).where(F.col("_n") <= F.length("term"))
+    begun = cuts.withColumn("word", F.substring(F.col("term"), F.lit(1), F.col("_n"))).drop("sizes", "_n")
+    return begun.join(F.broadcast(asked.select("word").distinct()), "word")  # a row a word of the queries
+
+
+def _least(asked: DataFrame) -> DataFrame:
+    """(word): the words that no other word begins; a term that begins with any word begins with just one of these."""
+    own = asked.select(F.col("word").alias("term"))
+    return expand(own.distinct(), asked).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n")).where("n = 1").select("word")
 
 
 def _ranges(asked: DataFrame) -> Column:
@@ -85,7 +92,8 @@ def search(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """Documents with all words of a query first, then those with some, each by BM25; a word stands for all terms that begin with it."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
     size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = index.postings.where(_ranges(asked)).join(F.broadcast(expand(index.terms, asked)), "term").repartition("id").groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    begun = expand(index.postings.where(_ranges(asked)), _least(asked)).select("id", "term", "tf", "dl").repartition("id")  # a row a posting, however many words begin it
+    hits = expand(begun, asked).groupBy("word", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     df = hits.groupBy("word").agg(F.count(F.col("tf") + F.col("dl")).alias("df"))  # never null; reads what the scores read, so both share one shuffle
     found = scored(hits, df, index.stats, asked, "word")
     ranked = found.join(F.broadcast(size), "query_id").withColumn("pass", F.when(F.col("matched") == F.col("n"), 0).otherwise(1).cast("long"))
